@@ -9,6 +9,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Word separators of the contracts: space, and U+0009 to U+000D.
 WORD_SEP = r"[\x20\x09-\x0D]+"
@@ -73,5 +74,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WORD_SEP, -1), "")
 
 
+def widened(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of ``df`` with more columns, named and typed, that may be null."""
+    return T.StructType([*df.schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in columns.items())])
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

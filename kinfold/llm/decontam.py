@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import col, fresh
+from kinfold.llm.common import col, fresh, widened
 
 #: Bytes of item text one automaton is built from; more items make more automata, scanned in turn.
 SHARD_BYTES = 8 << 20
@@ -176,8 +176,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_hit: float = 0.5, w
         out = batch.take(pa.array(keep, pa.int64())) if len(keep) < len(found) else batch
         return out.append_column(flag, pa.array(texts, pa.string()))
 
-    schema = docs.select("*", F.lit("").cast("string").alias(flag)).schema
-    cut = _scan(docs, _shards(benchmark, item_col, item_text_col, window), text_col, finish, schema)
+    cut = _scan(docs, _shards(benchmark, item_col, item_text_col, window), text_col, finish, widened(docs, **{flag: "string"}))
     changed = ~col(text_col).eqNullSafe(col(flag))
     out = [col(flag).alias(c) if k == at else (F.when(changed, F.length(col(flag))).otherwise(col(c)).cast(docs.schema[k].dataType).alias(c) if k == size else col(c)) for k, c in enumerate(docs.columns)]
     return cut.select(*out)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import col, fresh, save
+from kinfold.llm.common import col, fresh, save, widened
 
 #: log2 of the sketch's registers, and how far from the threshold an estimate decides alone.
 LG_K, BAND = 10, 0.25
@@ -114,8 +114,7 @@ def deduplicate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", te
             out = batch.drop_columns([mine]) if mine else batch
             yield out.append_column(flag, pa.array(texts, pa.string())).append_column(total, pa.array(np.array(lines, np.int64))).append_column(cut, pa.array(np.array(removed, np.int64)))
 
-    schema = docs.select("*", F.lit("").cast("string").alias(flag), F.lit(0).cast("long").alias(total), F.lit(0).cast("long").alias(cut)).schema
-    made = source.mapInArrow(run, schema)
+    made = source.mapInArrow(run, widened(docs, **{flag: "string", total: "long", cut: "long"}))
     out = []
     for k, c in enumerate(docs.columns):
         if k == at:

@@ -107,7 +107,7 @@ def sequences(packed: DataFrame, length: int = 1024, pad_id: int = 0) -> DataFra
     group is one window, so it holds at most ``length`` ids.
     """
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         rows = sorted(zip(table["offset"].to_pylist(), table["length"].to_pylist(), table["ids"].to_pylist()))
         ids = np.concatenate([np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int32) for _, n, raw in rows])
         n = len(ids)

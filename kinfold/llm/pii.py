@@ -245,7 +245,8 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """One row per document: ``doc_id, text, n_pii`` and ``n_<kind>`` for each kind.
 
     Null texts stay null with counts 0. Null ids and repeated rows pass through, an empty table
-    gives no row. A pseudonym has its original's length, punctuation, letter case and validity.
+    gives no row. A pseudonym has its original's punctuation, letter case, validity and, but for the
+    octets of an address and one-digit days and months, length.
     """
     made = docs.select(col(id_col).alias("doc_id"), F.when(col(text_col).isNotNull(), _found(col(text_col), key, False)).alias("f"))
     kinds = F.coalesce(F.col("f.kinds"), F.array().cast("array<string>"))
