@@ -44,10 +44,15 @@ def _draw(digest: Column, i: Column) -> Column:
     return F.conv(F.substring(digest, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int") + F.floor(i / 16).cast("int")
 
 
-def _turned(half: Column, digest: Column, sign: int) -> Column:
-    """Every digit and letter of ``half`` moved within its class by the digest; the rest stays."""
+def _turned(half: Column, digest: Column, sign: int, hexa: bool = False) -> Column:
+    """Every digit and letter of ``half`` moved within its class by the digest; the rest stays.
+
+    With ``hexa`` the one class is that of the lower-case hexadecimal digits."""
 
     def one(c: Column, i: Column) -> Column:
+        if hexa:
+            moved = F.pmod(F.conv(c, 16, 10).cast("int") + sign * _draw(digest, i), F.lit(16))
+            return F.when(c.rlike("[0-9a-f]"), F.lower(F.hex(moved))).otherwise(c)
         step = lambda low, size: F.char(F.lit(low) + F.pmod(F.ascii(c) - low + sign * _draw(digest, i), F.lit(size)))
         return F.when(c.between("0", "9"), step(48, 10)).when(c.between("a", "z"), step(97, 26)).when(c.between("A", "Z"), step(65, 26)).otherwise(c)
 
@@ -72,13 +77,13 @@ def _rounds(key: str, kind: str, left: Column, right: Column, turn, undo: bool)
     return F.aggregate(F.reverse(order) if undo else order, F.struct(left.alias("l"), right.alias("r")), step)
 
 
-def permute_text(s: Column, key: str, kind: str, undo: bool = False) -> Column:
+def permute_text(s: Column, key: str, kind: str, undo: bool = False, hexa: bool = False) -> Column:
     """A string's letters and digits permuted within their classes, all else kept in place."""
 
     def halves(v: Column) -> Column:
         cut = F.floor(F.length(v) / 2).cast("int")
         left, right = F.substring(v, F.lit(1), cut), F.substring(v, cut + 1, F.length(v))
-        return let(_rounds(key, kind, left, right, lambda h, d, sign, _: _turned(h, d, sign), undo), lambda a: F.concat(a["l"], a["r"]))
+        return let(_rounds(key, kind, left, right, lambda h, d, sign, _: _turned(h, d, sign, hexa), undo), lambda a: F.concat(a["l"], a["r"]))
 
     return let(s, halves)
 
@@ -196,6 +201,18 @@ def _after(m: Column, head: str, key: str, kind: str, undo: bool) -> Column:
     return let(first, lambda h: F.concat(h, permute_text(F.substring(m, F.length(h) + 1, F.length(m)), key, kind, undo)))
 
 
+def _secret(m: Column, key: str, undo: bool) -> Column:
+    """A secret's value after its name; one of hexadecimal digits stays one."""
+    first = F.regexp_extract(m, r"^(?:AKIA|[a-z_]+\s*[=:]\s*\"?)", 0)
+
+    def build(h: Column) -> Column:
+        value = F.substring(m, F.length(h) + 1, F.length(m))
+        text, hexa = (permute_text(value, key, "secret", undo, x) for x in (False, True))
+        return F.concat(h, F.when(value.rlike("^[0-9a-f]+\"?$"), hexa).otherwise(text))
+
+    return let(first, build)
+
+
 def _email(m: Column, key: str, undo: bool) -> Column:
     """The local part and the first label of the host; the rest of the host says nothing personal."""
     at = F.substring_index(m, "@", 1)
@@ -216,7 +233,7 @@ def _pseudonym(m: Column, kind: Column, key: str, undo: bool) -> Column:
     ssn_ok = ~m.rlike("^(000|666|9)|-00-|-0000$")
     return (
         F.when(kind == "email", _email(m, key, undo))
-        .when(kind == "secret", _after(m, r"AKIA|[a-z_]+\s*[=:]\s*\"?", key, "secret", undo))
+        .when(kind == "secret", _secret(m, key, undo))
         .when(kind == "iban", _iban(m, key, undo))
         .when(kind == "ip", _ip(m, key, undo))
         .when(kind == "date", _date(m, key, undo))

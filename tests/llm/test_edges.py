@@ -73,6 +73,7 @@ def test_line_rules(spark):
     good = "A sentence of plain prose that any reader would keep, with commas and a full stop."
     bad = {"punctuation": "WHAT!! IS!! THIS!! NOW!!", "navigation": "Home | News | Sport | About", "boilerplate": "All rights reserved."}
     more = "Another line follows here, quite unlike the first one, so that no words repeat at all."
+    more = more + "\nThere is still further text below, because a page should keep most of what it says."
     text = "\n".join([good, more, *bad.values()])
     got = quality.assess(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert [got[f"n_{k}"] for k in bad] == [1, 1, 1]
