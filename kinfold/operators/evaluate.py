@@ -54,21 +54,34 @@ def report_averages(report: DataFrame) -> DataFrame:
     return macro.unionByName(weighted.select(F.lit("weighted avg").alias("average"), *names, "support"))
 
 
+def _grid(names: DataFrame) -> DataFrame:
+    """All ordered pairs of the classes of ``names``, from one array of them: no join is needed."""
+    both = names.agg(F.array_sort(F.collect_set("class")).alias("all"))
+    return both.select(F.explode("all").alias("true_class"), "all").select("true_class", F.explode("all").alias("predicted_class"))
+
+
 def confusion_matrix(judged: DataFrame) -> DataFrame:
     """Every pair of true classes with its count, zeros too; predictions outside them drop out.
 
     The number of rows is the square of the number of classes, not of the items.
     """
-    names = judged.select(F.col("true_class").alias("class")).distinct()
-    grid = names.select(F.col("class").alias("true_class")).join(names.select(F.col("class").alias("predicted_class")))
+    grid = _grid(judged.select(F.col("true_class").alias("class")).distinct())
     counts = confusion_counts(judged)
     return grid.join(counts, ["true_class", "predicted_class"], "left").select("true_class", "predicted_class", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def most_confused(judged: DataFrame, top_n: int = 5) -> DataFrame:
-    """The ``top_n`` pairs of different classes confused most often; ties in class order."""
-    rows = confusion_matrix(judged).where("true_class <> predicted_class")
-    return rows.orderBy(F.desc("count"), "true_class", "predicted_class").limit(top_n)
+    """The ``top_n`` pairs of different classes confused most often; ties in class order.
+
+    Pairs never confused count too. Only the first of them in class order can be among the best,
+    and these lie between the first ``2 * top_n + 1`` classes, so the full matrix is never made.
+    """
+    names = judged.select(F.col("true_class").alias("class")).distinct()
+    counts = confusion_counts(judged).where("true_class <> predicted_class")
+    seen = counts.join(names.withColumnRenamed("class", "predicted_class"), "predicted_class", "left_semi")
+    first = _grid(names.orderBy("class").limit(2 * top_n + 1)).where("true_class <> predicted_class")
+    none = first.join(counts, ["true_class", "predicted_class"], "left_anti").withColumn("count", F.lit(0).cast("long"))
+    return seen.unionByName(none).orderBy(F.desc("count"), "true_class", "predicted_class").limit(top_n)
 
 
 def summary(judged: DataFrame, n: int = 5) -> DataFrame:
