@@ -31,6 +31,9 @@ report as (select class, case when p > 0 then tp / p::double else 0.0::double en
 _GRID = f"""{_JUDGED}, names as (select distinct true_class as c from j),
 grid as (select a.c as true_class, b.c as predicted_class, (select count(*) from j where true_class = a.c and predicted_class = b.c) as count from names a, names b)"""
 _X = f"{_VEC}, x as (select vec_id, unnest(range(len(e)))::integer as i, unnest(e) as x from v)"
+_SHARES = f"""{_X}, var as (select i, var_samp(x) as cov from x group by i),
+shares as (select (row_number() over (order by round(cov, 12) desc, i))::integer as pc, i, cov / sum(cov) over () as ratio from var),
+steps as (select *, sum(ratio) over (order by pc rows unbounded preceding) as cumulative from shares)"""
 _MODEL = "p0 as (select (vec_id - (select min(vec_id) from x))::integer as k, i, 0.5::double as w, x as mu, 0.02::double as var from x where vec_id < (select min(vec_id) from x) + 2)"
 
 
@@ -75,6 +78,10 @@ def oracle_sql() -> dict[str, str]:
             'data/' || lower(identity) || '/out/' || image_id || '.jpg' as file, 'data/' || identity || '/db/' || image_id || '.fv' as fv_path from catalog""",
         "path_basename": "select page_id, split_part(url, '/', -1) as name from pages",
         "metadata_csv": f"with {_CATALOG} select * from catalog",
+        "label_map": f"with {_CATALOG} select image_id, max(identity) as identity from catalog group by image_id",
+        "dataset_settings": "select distinct source, source not in ('src3', 'src7') as remove_background from documents",
+        "file_listing": "select 3::bigint as n_files, 1 as all_full",
+        "split_rows": f"with {_SPLIT} select c.* from catalog c semi join (select * from split where split = 'test') s using (image_id)",
         "closed_set_split": f"with {_SPLIT} select * from split",
         "split_analysis": f"with {_SPLIT} select split, count(*) as n_images, count(distinct identity) as n_identities from split group by split",
         "split_overlap": f"""with {_SPLIT}, parts as (select bool_or(split = 'train') as a, bool_or(split = 'test') as b from split group by identity)
@@ -87,6 +94,11 @@ def oracle_sql() -> dict[str, str]:
         "dot_products": f"with {_PAIR} select vec_id, {_r('list_dot_product(e, o)')} as dot from p",
         "elementwise": _elements(two, "list_transform(list_zip(e, o), lambda z: (z[1] - z[2]) * (z[1] - z[2]) / pow(z[2] * z[2] + 1, 1.5))"),
         "flatten_blocks": _elements(two, "(e || o || o || e)[60:199]"),
+        "rescale_clip": f"with {_X} select vec_id, i, floor(greatest(0.0::double, least(255.0::double, x * 255)))::bigint as value from x",
+        "slices": f"""with {_VEC} select vec_id, len(e)::integer as d, {_r('e[1] + e[2] + e[3] + e[4] + e[5]')} as head, {_r('e[1]')} as first, {_r('e[-1]')} as last from v""",
+        "gallery_completeness": """select count(*) as n, count(*) filter (label = 3) as n_missing from embeddings where vec_id % 5 <> 0""",
+        "topk_small_gallery": f"""with {_TOP.replace("g.vec_id % 5 <> 0", "g.vec_id % 5 <> 0 and g.vec_id < 4")} select query_id, gallery_id, {_r('similarity')} as similarity, rank from top""",
+        "stream_open_set": f"with {_TOP} select query_id as image_id, {_r('similarity')} as similarity, case when similarity >= 0.4 then label else 'Unknown class.' end as decision from top where rank = 1",
         "cosine_topk": f"with {_TOP} select query_id, gallery_id, {_r('similarity')} as similarity, rank from top",
         "top1_class": f"with {_TOP} select query_id as image_id, label as predicted_class from top where rank = 1",
         "top_n_struct": f"with {_TOP} select query_id as image_id, string_agg(label, ',' order by rank) as classes, {_r('min(similarity)')} as last_similarity from top group by query_id",
@@ -97,6 +109,9 @@ def oracle_sql() -> dict[str, str]:
         "evaluation_summary": f"""with {_TOP}, h as (select query_id, bool_or(t.label = e.label::varchar and rank = 1) as first, bool_or(t.label = e.label::varchar and rank <= 3) as hit
             from top t join embeddings e on e.vec_id = t.query_id group by query_id)
             select {_r('avg(first::integer::double)')} as accuracy, {_r('avg(hit::integer::double)')} as top_n_accuracy, count(*) as n from h""",
+        "formatted_summary": f"""with {_TOP}, h as (select query_id, bool_or(t.label = e.label::varchar and rank = 1) as first, bool_or(t.label = e.label::varchar) as hit
+            from top t join embeddings e on e.vec_id = t.query_id group by query_id)
+            select printf('%.4f', avg(first::integer::double)) as accuracy, printf('%.4f', avg(hit::integer::double)) as top_n_accuracy from h""",
         "per_class_report": f"with {_REPORT} select class, {_r('precision')} as precision, {_r('recall')} as recall, {_r('f1')} as f1, support from report",
         "report_averages": f"""with {_REPORT} select 'macro avg' as average, {averages}, sum(support)::bigint as support from report
             union all select 'weighted avg', {weighted}, sum(support)::bigint from report""",
@@ -106,6 +121,10 @@ def oracle_sql() -> dict[str, str]:
         "class_names": f"with {_JUDGED} select distinct true_class as class from j order by class",
         "descriptor_mean": f"with {_X} select i, {_r('avg(x)')} as mean from x group by i",
         "descriptor_covariance": f"with {_X} select a.i, b.i as j, {_r('covar_samp(a.x, b.x)')} as cov from x a join x b on a.vec_id = b.vec_id and a.i <= b.i group by a.i, b.i",
+        "stacked_descriptors": f"with {_X} select count(distinct vec_id) as n, (max(i) + 1)::integer as d, {_r('sum(x)')} as total from x",
+        "variance_cumsum": f"with {_SHARES} select pc, i, {_r('ratio')} as ratio, {_r('cumulative')} as cumulative from steps",
+        "variance_threshold": f"""with {_SHARES} select coalesce(min(pc) filter (cumulative >= 0.5), count(*) + 1)::integer as half,
+            coalesce(min(pc) filter (cumulative >= 0.95), count(*) + 1)::integer as most, coalesce(min(pc) filter (cumulative >= 2), count(*) + 1)::integer as never from steps""",
         "whitened_covariance": "select a::integer as i, b::integer as j, case when a = b then 1.0 else 0.0 end::double as cov from range(8) t(a), range(8) s(b) where a <= b",
         "pca_invariants": f"""with {_X}, c as (select a.i, b.i as j, covar_samp(a.x, b.x) as c from x a join x b using (vec_id) group by a.i, b.i)
             select {_r('sum(c) filter (i = j)')} as trace, {_r('sum(c * c)')} as frobenius from c""",

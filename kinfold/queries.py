@@ -96,6 +96,26 @@ def path_basename(spark, sf_dir):
     return _load(spark, sf_dir, "pages").select("page_id", paths.basename(F.col("url")).alias("name"))
 
 
+def label_map(spark, sf_dir):
+    """Two columns as a lookup; of several rows of a key the greatest value counts."""
+    c = catalog(spark, sf_dir).groupBy("image_id").agg(F.max("identity").alias("identity"))
+    return c.select("image_id", F.element_at(F.create_map("image_id", "identity"), F.col("image_id")).alias("identity"))
+
+
+def dataset_settings(spark, sf_dir):
+    """Per dataset (source): whether images lose their background there."""
+    keep = ["src3", "src7"]
+    return _load(spark, sf_dir, "documents").select("source").distinct().select("source", (~F.col("source").isin(keep)).alias("remove_background"))
+
+
+def file_listing(spark, sf_dir):
+    """Files of a folder, with their sizes, after a table of three files was written there."""
+    root = _shared(spark, "listing")
+    catalog(spark, sf_dir).repartition(3).write.parquet(root)
+    found = tables.read_images(spark, root, "*.parquet", id_from_name=False)
+    return found.agg(F.count("*").alias("n_files"), F.min((F.length("content") > 0).cast("int")).alias("all_full"))
+
+
 def metadata_csv(spark, sf_dir):
     """A catalog through the CSV writer and reader; ids come back as strings."""
     root = _shared(spark, "metadata")
@@ -124,6 +144,12 @@ def closed_set_split(spark, sf_dir):
     return splits.closed_set_split(catalog(spark, sf_dir)).select("image_id", "identity", "split")
 
 
+def split_rows(spark, sf_dir):
+    """The catalog rows of the test part, found by their ids."""
+    c = catalog(spark, sf_dir)
+    return c.join(splits.closed_set_split(c).where("split = 'test'").select("image_id"), "image_id", "left_semi")
+
+
 def split_analysis(spark, sf_dir):
     return splits.analyze_split(splits.closed_set_split(catalog(spark, sf_dir)))
 
@@ -191,6 +217,18 @@ def flatten_blocks(spark, sf_dir):
     return p.select("vec_id", F.posexplode(F.slice(whole, 60, 140)).alias("i", "v")).select("vec_id", "i", _r(F.col("v").cast("double")).alias("value"))
 
 
+def rescale_clip(spark, sf_dir):
+    """Values times 255, clipped to a byte's range, then truncated."""
+    v = F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), x.cast("double") * 255))))
+    return embeddings(spark, sf_dir).select("vec_id", F.posexplode(v).alias("i", "value"))
+
+
+def slices(spark, sf_dir):
+    """Head, first and last elements, and length."""
+    e = F.col("embedding").cast("array<double>")
+    return embeddings(spark, sf_dir).select("vec_id", F.size(e).alias("d"), _r(vectors.total(F.slice(e, 1, 5))).alias("head"), _r(F.element_at(e, 1)).alias("first"), _r(F.element_at(e, -1)).alias("last"))
+
+
 # Retrieval
 
 
@@ -212,6 +250,33 @@ def open_set_threshold(spark, sf_dir):
     return _rounded(retrieve.open_set(predictions(spark, sf_dir), 0.4), "similarity")
 
 
+def gallery_completeness(spark, sf_dir):
+    """Gallery rows, those with a label, and those without, when labels of label 3 are lost."""
+    gallery, _ = gallery_and_probes(spark, sf_dir)
+    labels = gallery.where("identity <> '3'").select("image_id", "identity")
+    rows = gallery.select("image_id").unionByName(retrieve.missing_labels(gallery, labels).select(F.lit(None).cast("long").alias("image_id")))
+    return rows.agg(F.count("image_id").alias("n"), F.count_if(F.col("image_id").isNull()).alias("n_missing"))
+
+
+def topk_small_gallery(spark, sf_dir):
+    """A gallery smaller than k gives shorter lists."""
+    gallery, probes = gallery_and_probes(spark, sf_dir)
+    return _rounded(retrieve.top_k(probes, gallery.where("image_id < 4"), 5), "similarity")
+
+
+def stream_open_set(spark, sf_dir):
+    """The probes as a stream, scored against the static gallery until the input is used up."""
+    from kinfold.streaming import scoring
+
+    gallery, probes = gallery_and_probes(spark, sf_dir)
+    root = _shared(spark, "stream")
+    probes.select("image_id", "fv").repartition(3).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("image_id long, fv array<float>").parquet(f"{root}/in")
+    run = scoring.score_stream(stream, gallery, 0.4).writeStream.option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start(f"{root}/out", "parquet")
+    run.awaitTermination()
+    return _rounded(spark.read.parquet(f"{root}/out"), "similarity")
+
+
 # Evaluation
 
 
@@ -235,6 +300,12 @@ def report_averages(spark, sf_dir):
     return _rounded(evaluate.report_averages(evaluate.per_class_report(judged(spark, sf_dir))), "precision", "recall", "f1")
 
 
+def formatted_summary(spark, sf_dir):
+    """Accuracy figures as text of four decimals."""
+    row = evaluate.summary(judged(spark, sf_dir), 5)
+    return row.select(F.format_string("%.4f", "accuracy").alias("accuracy"), F.format_string("%.4f", "top_n_accuracy").alias("top_n_accuracy"))
+
+
 def confusion_counts(spark, sf_dir):
     return evaluate.confusion_counts(judged(spark, sf_dir))
 
@@ -262,6 +333,31 @@ def descriptor_covariance(spark, sf_dir):
     return _rounded(pca.covariance(embeddings(spark, sf_dir), "embedding"), "cov")
 
 
+def stacked_descriptors(spark, sf_dir):
+    """All bags as one table: rows, width, and the sum of all elements."""
+    b = bags(spark, sf_dir)
+    return b.agg(F.count("*").alias("n"), F.max(F.size("desc")).alias("d"), _r(F.sum(vectors.total(F.col("desc")))).alias("total"))
+
+
+def _variance_shares(spark, sf_dir) -> DataFrame:
+    """Elements by falling variance with their share of the total."""
+    var = pca.covariance(embeddings(spark, sf_dir), "embedding").where("i = j").select("i", "cov")
+    order = Window.orderBy(F.desc(F.round("cov", 12)), "i")
+    whole = F.sum("cov").over(Window.partitionBy())
+    return var.select(F.row_number().over(order).alias("pc"), "i", (F.col("cov") / whole).alias("ratio"))
+
+
+def variance_cumsum(spark, sf_dir):
+    return _rounded(evaluate.cumulative(_variance_shares(spark, sf_dir)), "ratio", "cumulative")
+
+
+def variance_threshold(spark, sf_dir):
+    """Fewest elements whose shares reach 0.5, 0.95 and 2 (never reached: one more than all)."""
+    steps = evaluate.cumulative(_variance_shares(spark, sf_dir))
+    need = lambda t: F.coalesce(F.min(F.when(F.col("cumulative") >= t, F.col("pc"))), F.count("*") + 1).cast("int")
+    return steps.agg(need(0.5).alias("half"), need(0.95).alias("most"), need(2.0).alias("never"))
+
+
 def _projected(spark, sf_dir, p: int = 8) -> tuple[DataFrame, pca.PCAModel]:
     e = embeddings(spark, sf_dir).select("vec_id", F.col("embedding").alias("desc"))
     model = pca.fit(e, p)
