@@ -15,13 +15,17 @@ sized as (select *, count(*) over (partition by identity) as n, row_number() ove
 split as (select image_id, identity, case when rn <= greatest(1, least(n - 1, floor(n * 0.8::double + 0.5))) then 'train' else 'test' end as split from sized)"""
 _VEC = "v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings)"
 _PAIR = f"{_VEC}, p as (select a.vec_id, a.e, b.e as o from v a join v b on b.vec_id = a.vec_id + 1)"
-_TOP = f"""{_VEC},
+_UNIT = f"""{_VEC},
 u as (select vec_id, label, e, sqrt(list_dot_product(e, e)) as n from v),
-w as (select vec_id, label::varchar as label, list_transform(e, lambda x: x / n) as e from u),
-sims as (select q.vec_id as query_id, g.vec_id as gallery_id, g.label, round(list_dot_product(q.e, g.e), 12) as similarity from w q, w g where q.vec_id % 5 = 0 and g.vec_id % 5 <> 0),
+w as (select vec_id, label::varchar as label, list_transform(e, lambda x: x / n) as e from u)"""
+_RANKED = """sims as (select q.vec_id as query_id, g.vec_id as gallery_id, g.label, q.label as true_class, round(list_dot_product(q.e, g.e), 12) as similarity from probe q, gallery g),
 ranked as (select *, row_number() over (partition by query_id order by similarity desc, gallery_id desc) as rank from sims),
 top as (select * from ranked where rank <= 5)"""
-_JUDGED = f"""{_TOP}, j as (select t.query_id as image_id, t.label as predicted_class, e.label::varchar as true_class from top t join embeddings e on e.vec_id = t.query_id where rank = 1)"""
+_TOP = f"{_UNIT}, probe as (select * from w where vec_id % 20 = 0), gallery as (select * from w), {_RANKED}"
+_TESTED = f"""{_UNIT}, parts as (select *, count(*) over (partition by label) as c, row_number() over (partition by label order by md5(vec_id::varchar || '#42'), vec_id) as rn from w),
+marked as (select *, rn <= greatest(1, least(c - 1, floor(c * 0.8::double + 0.5))) as trains from parts),
+probe as (select * from marked where not trains), gallery as (select * from marked where trains), {_RANKED}"""
+_JUDGED = f"""{_TESTED}, j as (select query_id as image_id, label as predicted_class, true_class from top where rank = 1)"""
 _REPORT = f"""{_JUDGED},
 classes as (select true_class as class from j union select predicted_class from j),
 counts as (select class, (select count(*) from j where true_class = class) as t, (select count(*) from j where predicted_class = class) as p,
@@ -96,21 +100,19 @@ def oracle_sql() -> dict[str, str]:
         "flatten_blocks": _elements(two, "(e || o || o || e)[60:199]"),
         "rescale_clip": f"with {_X} select vec_id, i, floor(greatest(0.0::double, least(255.0::double, x * 255)))::bigint as value from x",
         "slices": f"""with {_VEC} select vec_id, len(e)::integer as d, {_r('e[1] + e[2] + e[3] + e[4] + e[5]')} as head, {_r('e[1]')} as first, {_r('e[-1]')} as last from v""",
-        "gallery_completeness": """select count(*) as n, count(*) filter (label = 3) as n_missing from embeddings where vec_id % 5 <> 0""",
-        "topk_small_gallery": f"""with {_TOP.replace("g.vec_id % 5 <> 0", "g.vec_id % 5 <> 0 and g.vec_id < 4")} select query_id, gallery_id, {_r('similarity')} as similarity, rank from top""",
         "stream_open_set": f"with {_TOP} select query_id as image_id, {_r('similarity')} as similarity, case when similarity >= 0.4 then label else 'Unknown class.' end as decision from top where rank = 1",
         "cosine_topk": f"with {_TOP} select query_id, gallery_id, {_r('similarity')} as similarity, rank from top",
         "top1_class": f"with {_TOP} select query_id as image_id, label as predicted_class from top where rank = 1",
         "top_n_struct": f"with {_TOP} select query_id as image_id, string_agg(label, ',' order by rank) as classes, {_r('min(similarity)')} as last_similarity from top group by query_id",
         "open_set_threshold": f"with {_TOP} select query_id as image_id, {_r('similarity')} as similarity, case when similarity >= 0.4 then label else 'Unknown class.' end as decision from top where rank = 1",
         "accuracy": f"with {_JUDGED} select {_r('avg((true_class = predicted_class)::integer::double)')} as accuracy, count(*) as n from j",
-        "top_n_accuracy": f"""with {_TOP}, h as (select query_id, bool_or(t.label = e.label::varchar) as hit from top t join embeddings e on e.vec_id = t.query_id group by query_id)
+        "top_n_accuracy": f"""with {_TESTED}, h as (select query_id, bool_or(label = true_class) as hit from top group by query_id)
             select {_r('avg(hit::integer::double)')} as top_n_accuracy, count(*) as n from h""",
-        "evaluation_summary": f"""with {_TOP}, h as (select query_id, bool_or(t.label = e.label::varchar and rank = 1) as first, bool_or(t.label = e.label::varchar and rank <= 3) as hit
-            from top t join embeddings e on e.vec_id = t.query_id group by query_id)
+        "evaluation_summary": f"""with {_TESTED}, h as (select query_id, bool_or(label = true_class and rank = 1) as first, bool_or(label = true_class and rank <= 3) as hit
+            from top group by query_id)
             select {_r('avg(first::integer::double)')} as accuracy, {_r('avg(hit::integer::double)')} as top_n_accuracy, count(*) as n from h""",
-        "formatted_summary": f"""with {_TOP}, h as (select query_id, bool_or(t.label = e.label::varchar and rank = 1) as first, bool_or(t.label = e.label::varchar) as hit
-            from top t join embeddings e on e.vec_id = t.query_id group by query_id)
+        "formatted_summary": f"""with {_TESTED}, h as (select query_id, bool_or(label = true_class and rank = 1) as first, bool_or(label = true_class) as hit
+            from top group by query_id)
             select printf('%.4f', avg(first::integer::double)) as accuracy, printf('%.4f', avg(hit::integer::double)) as top_n_accuracy from h""",
         "per_class_report": f"with {_REPORT} select class, {_r('precision')} as precision, {_r('recall')} as recall, {_r('f1')} as f1, support from report",
         "report_averages": f"""with {_REPORT} select 'macro avg' as average, {averages}, sum(support)::bigint as support from report

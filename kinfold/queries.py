@@ -1,8 +1,9 @@
 """The registered queries: every operator over the driver's tables.
 
 ``documents`` stands in for a catalog (identity = lang, path = source/doc_id.jpg), ``embeddings``
-for descriptors and vectors (identity = label). Probes are the rows whose id is divisible by 5, the
-gallery is the rest; bags are groups of four vectors of a label in id order.
+for descriptors and vectors (identity = label). Searches take the rows whose id is divisible by 20
+as queries against all rows; evaluations split all vectors per label, test against training part.
+Bags are groups of four vectors of a label in id order.
 """
 
 from __future__ import annotations
@@ -57,18 +58,22 @@ def first_model(spark: SparkSession, sf_dir: str) -> gmm.GMMModel:
     return gmm.GMMModel(np.full(K, 1 / K), mu, np.full(mu.shape, VAR))
 
 
-def gallery_and_probes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = embeddings(spark, sf_dir).select(F.col("vec_id").alias("image_id"), F.col("label").cast("string").alias("identity"), F.col("embedding").alias("fv"))
-    return e.where("image_id % 5 <> 0"), e.where("image_id % 5 = 0")
+def vectors_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return e.select(F.col("vec_id").alias("image_id"), F.col("label").cast("string").alias("identity"), F.col("embedding").alias("fv"))
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gallery, probes = gallery_and_probes(spark, sf_dir)
-    return retrieve.classify(probes.select("image_id", "fv"), gallery, gallery, 5)
+def search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of the search set against all vectors."""
+    rows = vectors_table(spark, sf_dir)
+    return retrieve.classify(rows.where("image_id % 20 = 0").select("image_id", "fv"), rows, rows, 5)
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.with_truth(predictions(spark, sf_dir), gallery_and_probes(spark, sf_dir)[1])
+    """Predictions of the test part from the training part, beside the truth."""
+    split = splits.closed_set_split(vectors_table(spark, sf_dir))
+    test, train = split.where("split = 'test'"), split.where("split = 'train'")
+    return evaluate.with_truth(retrieve.classify(test.select("image_id", "fv"), train, train, 5), test)
 
 
 # Catalog and paths
@@ -233,44 +238,30 @@ def slices(spark, sf_dir):
 
 
 def cosine_topk(spark, sf_dir):
-    gallery, probes = gallery_and_probes(spark, sf_dir)
-    return _rounded(retrieve.top_k(probes, gallery, 5), "similarity")
+    rows = vectors_table(spark, sf_dir)
+    return _rounded(retrieve.top_k(rows.where("image_id % 20 = 0"), rows, 5), "similarity")
 
 
 def top1_class(spark, sf_dir):
-    return predictions(spark, sf_dir).select("image_id", "predicted_class")
+    return search(spark, sf_dir).select("image_id", "predicted_class")
 
 
 def top_n_struct(spark, sf_dir):
     m = F.transform("top_n", lambda x: x["class"])
-    return predictions(spark, sf_dir).select("image_id", F.array_join(m, ",").alias("classes"), _r(F.element_at("top_n", -1)["similarity"]).alias("last_similarity"))
+    return search(spark, sf_dir).select("image_id", F.array_join(m, ",").alias("classes"), _r(F.element_at("top_n", -1)["similarity"]).alias("last_similarity"))
 
 
 def open_set_threshold(spark, sf_dir):
-    return _rounded(retrieve.open_set(predictions(spark, sf_dir), 0.4), "similarity")
-
-
-def gallery_completeness(spark, sf_dir):
-    """Gallery rows, those with a label, and those without, when labels of label 3 are lost."""
-    gallery, _ = gallery_and_probes(spark, sf_dir)
-    labels = gallery.where("identity <> '3'").select("image_id", "identity")
-    rows = gallery.select("image_id").unionByName(retrieve.missing_labels(gallery, labels).select(F.lit(None).cast("long").alias("image_id")))
-    return rows.agg(F.count("image_id").alias("n"), F.count_if(F.col("image_id").isNull()).alias("n_missing"))
-
-
-def topk_small_gallery(spark, sf_dir):
-    """A gallery smaller than k gives shorter lists."""
-    gallery, probes = gallery_and_probes(spark, sf_dir)
-    return _rounded(retrieve.top_k(probes, gallery.where("image_id < 4"), 5), "similarity")
+    return _rounded(retrieve.open_set(search(spark, sf_dir), 0.4), "similarity")
 
 
 def stream_open_set(spark, sf_dir):
-    """The probes as a stream, scored against the static gallery until the input is used up."""
+    """The search set as a stream, scored against the static gallery until the input is used up."""
     from kinfold.streaming import scoring
 
-    gallery, probes = gallery_and_probes(spark, sf_dir)
+    gallery = vectors_table(spark, sf_dir)
     root = _shared(spark, "stream")
-    probes.select("image_id", "fv").repartition(3).write.parquet(f"{root}/in")
+    gallery.where("image_id % 20 = 0").select("image_id", "fv").repartition(3).write.parquet(f"{root}/in")
     stream = spark.readStream.schema("image_id long, fv array<float>").parquet(f"{root}/in")
     run = scoring.score_stream(stream, gallery, 0.4).writeStream.option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start(f"{root}/out", "parquet")
     run.awaitTermination()
@@ -480,7 +471,7 @@ def predict_pipeline(spark, sf_dir):
     return _rounded(pipeline.predict(spark, root, b.select("image_id", "desc_idx", "desc")), "similarity")
 
 
-_HELPERS = {"catalog", "embeddings", "bags", "first_model", "gallery_and_probes", "predictions", "judged", "queries"}
+_HELPERS = {"catalog", "embeddings", "bags", "first_model", "vectors_table", "search", "judged", "queries"}
 
 
 def queries() -> dict:
