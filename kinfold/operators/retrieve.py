@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 64 << 20
 #: Similarities are ranked at this many decimals, so that equal vectors tie in any partitioning.
 DECIMALS = 12
-#: Gallery rows multiplied at a time.
-ROWS = 4096
+#: Gallery rows and queries multiplied at a time.
+ROWS, QUERIES = 4096, 1024
 UNKNOWN = "Unknown class."
 
 
@@ -76,30 +76,43 @@ def top_k(
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
+def _best_of(sims: np.ndarray, k: int) -> np.ndarray:
+    """Which entries are among each row's k best; of equals, the earlier ones."""
+    if sims.shape[1] <= k:
+        return np.ones(sims.shape, bool)
+    last = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k][:, None]
+    over, level = sims > last, sims == last
+    return over | (level & (np.cumsum(level, axis=1) <= k - over.sum(axis=1, keepdims=True)))
+
+
 def _scorer(shared, k: int):
     def run(batches):
         ids, unit = shared.value
-        best = [[] for _ in ids]  # per query: (similarity, id), the k best so far
-        kind = key_type = None
+        best: list = [[] for _ in ids]  # per query: (similarity, id), the k best so far
+        floor = np.full(len(ids), -np.inf)
+        kind = None
         for batch in batches:
-            kind, key_type = batch.schema.field(0).type, pa.infer_type(ids) if ids else pa.int64()
+            kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(at, ROWS)
                 matrix, ok = unit_rows(_matrix(rows.column(1)))
-                if not len(matrix) or not len(ids):
+                if not len(matrix):
                     continue
                 names = np.array(rows.column(0).filter(pa.array(ok)).to_pylist(), dtype=object)
-                sims = np.round(unit @ matrix.T, DECIMALS) + 0.0
-                for row, s in enumerate(sims):
-                    if len(s) > k:  # all that tie with the k-th stay candidates
-                        near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                    else:
-                        near = np.arange(len(s))
-                    best[row] = sorted([*best[row], *zip(s[near].tolist(), names[near])], reverse=True)[:k]
+                order = np.argsort(names, kind="stable")[::-1]  # of equals, the greatest id comes first
+                matrix, names = matrix[order], names[order]
+                for q in range(0, len(ids), QUERIES):
+                    sims = np.round(unit[q : q + QUERIES] @ matrix.T, DECIMALS) + 0.0
+                    hit = _best_of(sims, k) & (sims >= floor[q : q + QUERIES, None])
+                    for row in np.flatnonzero(hit.any(axis=1)):
+                        near = np.flatnonzero(hit[row])
+                        best[q + row] = sorted([*best[q + row], *zip(sims[row, near].tolist(), names[near])], reverse=True)[:k]
+                        if len(best[q + row]) == k:
+                            floor[q + row] = best[q + row][-1][0]
         out = [(ids[row], name, sim) for row, own in enumerate(best) for sim, name in own]
         if out:
             q, g, s = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(q, key_type), pa.array(g, kind), pa.array(s, pa.float64())], names=["query_id", "gallery_id", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.infer_type(ids)), pa.array(g, kind), pa.array(s, pa.float64())], names=["query_id", "gallery_id", "similarity"])
 
     return run
 

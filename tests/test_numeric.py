@@ -126,6 +126,22 @@ def test_query_blocks_give_the_same_result(spark):
     assert key(retrieve.top_k(df, df, 3)) == key(retrieve.top_k(df, df.repartition(7), 3, block_bytes=512))
 
 
+def test_many_equal_vectors_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "ROWS", 7)
+    monkeypatch.setattr(retrieve, "QUERIES", 2)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.tile(rng.normal(size=4), (40, 1)), rng.integers(-1, 2, (40, 4))]).astype(float)
+    df = vectors(spark, [(f"{i:03}", "a", x[i].tolist()) for i in range(80)])
+    unit = [v / np.linalg.norm(v) if v.any() else None for v in x]
+    want = []
+    for i, q in enumerate(unit):
+        if q is not None:
+            near = sorted(((round(float(q @ g), 12) + 0.0, f"{j:03}") for j, g in enumerate(unit) if g is not None), reverse=True)[:3]
+            want += [(f"{i:03}", g, r + 1) for r, (_, g) in enumerate(near)]
+    got = retrieve.top_k(df.repartition(2), df.repartition(3), 3).collect()
+    assert sorted((r["query_id"], r["gallery_id"], r["rank"]) for r in got) == sorted(want)
+
+
 def test_open_set_threshold_is_inclusive(spark):
     rows = [("at", "a", [(0.4, "a")]), ("under", "a", [(0.3999999, "a")]), ("over", "a", [(0.41, "a")])]
     p = spark.createDataFrame(rows, "image_id string, predicted_class string, top_n array<struct<similarity:double,class:string>>")
