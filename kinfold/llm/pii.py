@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import col, fresh, let
 
 ROUNDS = 10
-#: Patterns by kind, in the order they are tried.
+#: Patterns by kind, in the order they are tried. Repeats are bounded or never given back, so long
+#: runs of letters or digits cost no more than their length.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,63}",
     "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|pwd|token|secret|api_key|apikey)\s*[=:]\s*\"?[^\s\"]{6,}\"?",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",

@@ -21,8 +21,8 @@ from kinfold.llm.common import col, save
 
 #: Most pre-tokens that can be broadcast, and the longest of them in characters.
 HOT, HOT_CHARS = 1_000_000, 32
-#: Distinct pre-tokens a task holds before it passes their counts on.
-HELD = 300_000
+#: Distinct pre-tokens a task holds, and characters it reads, before it passes their counts on.
+HELD, HELD_CHARS = 300_000, 1 << 28
 BLOCK = 256
 
 
@@ -30,7 +30,7 @@ def pretoken_table(docs: DataFrame, tokenizer: str, text_col: str = "text") -> D
     """``pretoken, freq, n``: each distinct pre-token, how often it occurs, the ids it makes."""
 
     def split(batches):
-        enc, held = bpe.encoder(bpe.default_path(tokenizer)), Counter()
+        enc, held, read = bpe.encoder(bpe.default_path(tokenizer)), Counter(), 0
 
         def flush():
             made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["pretoken", "freq"])
@@ -40,8 +40,10 @@ def pretoken_table(docs: DataFrame, tokenizer: str, text_col: str = "text") -> D
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 held.update(enc.pretokens(text))
-                if len(held) > HELD:
+                read += len(text)
+                if len(held) > HELD or read > HELD_CHARS:
                     yield flush()
+                    read = 0
         yield flush()
 
     def count(batches):

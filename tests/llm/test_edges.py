@@ -380,3 +380,19 @@ def test_pipeline_stages_on_edge_rows(spark, docs, tmp_path):
 
 def test_fresh_names():
     assert fresh(["a", "GONE", "_gone"], "gone") == "__gone"
+
+
+def test_long_runs_cost_no_more_than_their_length(spark, tmp_path):
+    n = 100_000
+    texts = ["a" * n, "a.b" * n, "7" * n, "@" * n, "a@" * n, "x" * n + "@" + "y." * n, "4111 " * n, "1.2.3.4." * n, "\n" * n, " " * n, "é" * n, "AB12" * n, "+1 " * n, "!" * n]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), None) for i, t in enumerate(texts)], SCHEMA).repartition(4).cache()
+    bench = spark.createDataFrame([(1, "some item text")], "item_id long, text string")
+    sample = langid.learn(docs)
+    model = classifier.learn(docs, spark.createDataFrame([(0, 0, 0), (6, 1, 0)], "doc_id long, quality int, toxic int"))
+    results = [
+        quality.assess(docs), pii.pseudonymise(docs, "k"), classifier.score(docs, model), langid.predict(docs, sample), simhash.near_duplicates(docs),
+        linededup.deduplicate(docs), tokencount.token_counts(docs), decontam.report(docs, bench), rans.read(spark, rans.write(docs, f"file://{tmp_path}/set")),
+    ]
+    for r in results:
+        assert len(r.collect()) == len(texts)
+    assert packing.pieces(docs).count() >= len(texts)
