@@ -2,8 +2,8 @@
 
 A suffix automaton per language holds a sample of its labelled text. A new text is parsed greedily
 into the longest phrases each automaton contains; the language that needs the fewest phrases for
-the text's length is predicted. Parsing goes word by word over remembered (state, word) steps, which
-gives the same phrases as going letter by letter.
+the text's length is predicted. Words are parsed framed by blanks and phrases end with them, so a
+word's phrases are counted once per worker and a text costs one lookup per word.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,18 +20,18 @@ from kinfold.llm.common import col
 
 #: Letters of labelled text an automaton is made of, per language, and per document of the sample.
 SAMPLE_CHARS, DOC_CHARS = 60_000, 2_000
-#: Steps remembered per language and worker.
-STEPS = 300_000
-_NOT_LETTER = re.compile(r"[\W\d_]+")
+#: Words whose phrase counts a worker keeps, and the longest of them.
+WORDS, WORD_CHARS = 800_000, 64
+_words = re.compile(r"[^\W\d_]+").findall
 
 
 def normalise(text: str) -> list[str]:
-    """The text's words: runs of letters, lower case, each led by a blank."""
-    return [" " + w for w in _NOT_LETTER.sub(" ", text.lower()).split()]
+    """The text's words: runs of letters, lower case."""
+    return _words(text.lower())
 
 
 class Automaton:
-    """Suffix automaton of a text; states are dicts from a letter to the next state."""
+    """Suffix automaton of a text; a state is a dict from a letter to the next state's dict."""
 
     def __init__(self, text: str):
         nxt, link, length = [{}], [-1], [0]
@@ -58,33 +59,58 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = twin
             last = cur
-        self.next = nxt
-        self.steps: dict[tuple[int, str], tuple[int, int]] = {}
-
-    def step(self, state: int, word: str) -> tuple[int, int]:
-        """State and phrases begun after reading ``word`` from ``state``."""
-        nxt, phrases = self.next, 0
-        for c in word:
-            to = nxt[state].get(c)
+        for state in nxt:
+            for c, to in state.items():
+                state[c] = nxt[to]
+        self.root = nxt[0]
+
+    def phrases(self, text: str) -> int:
+        """Phrases of the greedy parse; a letter the sample lacks is a phrase of its own."""
+        root = state = self.root
+        n = 1
+        for c in text:
+            to = state.get(c)
             if to is None:
-                phrases += 1
-                to = nxt[0].get(c, 0)
+                n += 1
+                to = root.get(c, root)
             state = to
-        return state, phrases
-
-    def phrases(self, own: list[str]) -> int:
-        """Phrases of the greedy parse of the joined words; letters the language lacks count one each."""
-        steps, state, total = self.steps, 0, 1
-        for w in own:
-            key = (state, w)
-            got = steps.get(key)
-            if got is None:
-                if len(steps) >= STEPS:
-                    steps.clear()
-                got = steps[key] = self.step(state, w)
-            state = got[0]
-            total += got[1]
-        return total
+        return n
+
+
+class Parser:
+    """Automata of all languages, and the phrase counts of the words met so far."""
+
+    def __init__(self, sample: dict[str, str]):
+        self.names = sorted(sample)
+        # Phrases lie within words, so each distinct word of a sample is needed once.
+        self.automata = [Automaton(" " + " ".join(dict.fromkeys(normalise(sample[k]))) + " ") for k in self.names]
+        self.index: dict[str, int] = {}
+        self.table = np.zeros((WORDS, len(self.names)), np.int32)
+
+    def count(self, word: str) -> list[int]:
+        framed = f" {word} "
+        return [a.phrases(framed) for a in self.automata]
+
+    def phrases(self, own: list[str]) -> np.ndarray:
+        """Phrases of the words under each language."""
+        index, table = self.index, self.table
+        got = list(map(index.get, own))
+        total = np.zeros(len(self.names), np.int64)
+        if None in got:
+            new = [w for w in set(own).difference(index) if len(w) <= WORD_CHARS]
+            if len(index) + len(new) > WORDS:
+                index.clear()
+                new = [w for w in set(own) if len(w) <= WORD_CHARS][:WORDS]
+            for w in new:
+                table[len(index)] = self.count(w)
+                index[w] = len(index)
+            got = []
+            for w, n in zip(own, map(index.get, own)):
+                if n is None:
+                    total += self.count(w)
+                else:
+                    got.append(n)
+        return total + table[np.array(got, np.int64)].sum(axis=0, dtype=np.int64)
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
@@ -107,28 +133,28 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return sample
 
 
-_made: dict[int, tuple[dict, dict[str, Automaton]]] = {}
+_made: dict[int, tuple[dict, Parser]] = {}
 
 
-def automata(sample: dict[str, str]) -> dict[str, Automaton]:
-    """Automata of a sample, built once per Python worker."""
+def parser(sample: dict[str, str]) -> Parser:
+    """The parser of a sample, built once per Python worker."""
     key = hash(tuple(sorted(sample.items())))
-    if key not in _made:
+    if key not in _made or _made[key][0] != sample:
         _made.clear()
-        _made[key] = (sample, {k: Automaton(v) for k, v in sorted(sample.items())})
+        _made[key] = (sample, Parser(sample))
     return _made[key][1]
 
 
-def score_text(text: str | None, models: dict[str, Automaton]) -> tuple[str, float]:
+def score_text(text: str | None, models: Parser) -> tuple[str, float]:
     own = normalise(text) if text else []
-    if not own or not models:
+    if not own or not models.names:
         return "und", 0.0
-    size = sum(map(len, own))
-    rates = {k: m.phrases(own) / size for k, m in models.items()}
-    best = min(rates, key=lambda k: (rates[k], k))
+    size = sum(map(len, own)) + len(own)
+    rates = models.phrases(own) / size
+    best = int(np.argmin(rates))  # of equals, the first by name
     # Cost of a text of this length under each language, as a share: how far the best one leads.
-    scale = min(size, 400)
-    return best, 1.0 / sum(math.exp(max(-700.0, (rates[best] - r) * scale)) for r in rates.values())
+    lead = (rates[best] - rates) * min(size, 400)
+    return models.names[best], float(1.0 / np.exp(np.maximum(lead, -700.0)).sum())
 
 
 def predict(docs: DataFrame, sample: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,7 +168,7 @@ def predict(docs: DataFrame, sample: dict[str, str], id_col: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast(sample)
 
     def run(batches):
-        models = automata(shared.value)
+        models = parser(shared.value)
         for batch in batches:
             got = [score_text(t, models) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])

@@ -199,17 +199,30 @@ def test_pipeline_matches_brute_force(spark, sf_dir, docs):
     assert all(sizes[i] == n for i, n in want.items() if n is not None)
 
 
-def test_automaton_steps_match_letterwise_search():
-    text = "the cat sat on the mat and the cat ran"
-    a = langid.Automaton(text)
-    for probe in (" the cat", " mat ran xx", " on on on", "zzz"):
-        own, phrases, k = probe, 1, 0
-        cur = ""
-        while k < len(own):
-            if cur + own[k] in text:
-                cur += own[k]
-            else:
-                phrases += 1
-                cur = own[k] if own[k] in text else ""
-            k += 1
-        assert a.phrases([probe]) == phrases == a.phrases([probe[:3], probe[3:]])
+def brute_phrases(text, sample):
+    n, cur = 1, ""
+    for c in text:
+        if cur + c in sample:
+            cur += c
+        else:
+            n += 1
+            cur = c if c in sample else ""
+    return n
+
+
+def test_automaton_finds_the_longest_phrases():
+    sample = "the cat sat on the mat and the cat ran"
+    a = langid.Automaton(sample)
+    for probe in (" the cat", " mat ran xx", " on on on", "zzz", "tttt", "hecatsat"):
+        assert a.phrases(probe) == brute_phrases(probe, sample)
+
+
+def test_remembered_words_count_as_fresh_ones(monkeypatch):
+    sample = {"a": "the cat sat on the mat", "b": "le chat est sur la table"}
+    own = langid.normalise("The chat sat sur the mat; le mat, zut " + "x" * 100) * 3
+    want = [sum(brute_phrases(f" {w} ", " " + sample[k] + " ") for w in own) for k in "ab"]
+    for room in (langid.WORDS, 3):
+        monkeypatch.setattr(langid, "WORDS", room)
+        parser = langid.Parser(sample)
+        for _ in range(2):
+            assert parser.phrases(own).tolist() == want
