@@ -59,8 +59,9 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", te
     spread = save(spread.where(F.col("sites") >= min_sites * (1 - BAND)), "spread")
     near = spread.where(F.col("sites") <= min_sites * (1 + BAND))
     exact = pairs.join(near, "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
-    flagged = spread.where(F.col("sites") > min_sites * (1 + BAND)).select("line").unionByName(exact.select("line"))
-    holders = seen.select("doc_id", F.explode("lines").alias("line")).join(flagged, "line").groupBy("line").agg(F.min("doc_id").alias("first_id"))
+    flagged = save(spread.where(F.col("sites") > min_sites * (1 + BAND)).select("line").unionByName(exact.select("line")), "flagged")
+    small = F.broadcast(flagged) if flagged.count() <= BROADCAST_LINES else flagged
+    holders = seen.select("doc_id", F.explode("lines").alias("line")).join(small, "line").groupBy("line").agg(F.min("doc_id").alias("first_id"))
     return save(holders, "boilerplate")
 
 
