@@ -2,7 +2,8 @@
 
 Normalising keeps every byte's place (letters lower, all else that is no word character blank), so
 a match in the normalised text is a place in the original one. The automaton holds each window of
-``window`` consecutive item words once, with the items it is from; a text is scanned once.
+``window`` consecutive item words once, with the items it is from; a text is scanned once. Items of
+more than ``SHARD_BYTES`` are dealt to several automata, which take turns: a worker holds one.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import col, fresh, widened
+from kinfold.llm.common import col, fresh, save, widened
 
-#: Bytes of item text one automaton is built from; more items make more automata, scanned in turn.
-SHARD_BYTES = 8 << 20
+#: Bytes of item text one automaton is built from: some 60,000 windows, about 150 MB.
+SHARD_BYTES = 400 << 10
 
 _TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -70,50 +71,103 @@ class Scanner:
         return ranges, items
 
 
-def merged(ranges) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+_built: list = []
 
 
-def _shards(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list:
-    """Broadcast window tables, each of at most ``SHARD_BYTES`` of items (or of one larger item)."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(col(id_col).cast("string").alias("id"), col(text_col).alias("text")).where("text is not null")
+def _scanner(shared, window: int) -> Scanner:
+    """The automaton of a broadcast shard; a worker keeps the last one it made."""
+    value = shared.value
+    if not (_built and _built[0] is value and _built[1] == window):
+        _built.clear()
+        _built.extend((value, window, Scanner(windows(zip(*value), window))))
+    return _built[2]
+
+
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """Items that have a text, and how many automata they need."""
+    items = benchmark.select(col(id_col).cast("string").alias("id"), col(text_col).alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-2 * size // SHARD_BYTES)) if size > SHARD_BYTES else 1
-    shards = []
-    for k in range(n):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).toArrow()
-        shards.append(spark.sparkContext.broadcast(windows(zip(own["id"].to_pylist(), own["text"].to_pylist()), window)))
-    return shards
+    return items, 1 if size <= SHARD_BYTES else -(-2 * size // SHARD_BYTES)
 
 
-def _scan(docs: DataFrame, shards: list, text_col: str, finish, schema):
-    """Scan every text against all shards within one pass and hand the hits to ``finish``."""
-    at = docs.columns.index(text_col)
+def _scan(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, finish, schema):
+    """Hand each batch of ``docs`` to ``finish`` with its texts' normal forms, ranges and items.
 
-    def run(batches):
-        scanners = [Scanner(s.value) for s in shards]
+    With one automaton that is one pass. With more, the rows get a key and are written once, each
+    automaton's hits are written beside them, and the last pass joins them by that key.
+    """
+    spark, at = docs.sparkSession, docs.columns.index(text_col)
+    items, n = _items(benchmark, item_col, item_text_col)
+
+    def shard(k: int):
+        own = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).toArrow()
+        return spark.sparkContext.broadcast((own["id"].to_pylist(), own["text"].to_pylist()))
+
+    def hits(text: str | None, scanner: Scanner):
+        norm = normalise(text or "")
+        own = norm.split()
+        return norm, len(own), *scanner.scan(" " + b" ".join(own).decode("latin-1") + " ")
+
+    if n == 1:
+        only = shard(0)
+
+        def run(batches):
+            scanner = _scanner(only, window)
+            for batch in batches:
+                found = []
+                for text in batch.column(at).to_pylist():
+                    norm, size, ranges, names = hits(text, scanner)
+                    found.append((text, norm, size, merged(ranges), sorted(names)))
+                yield finish(batch, found)
+
+        return docs.mapInArrow(run, schema)
+
+    row = fresh(docs.columns, "row")
+    kept = save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    pair = pa.list_(pa.int64())
+    parts = []
+    for k in range(n):
+        shared = shard(k)
+
+        def find(batches, shared=shared):
+            scanner = _scanner(shared, window)
+            for batch in batches:
+                out = [(key, *hits(text, scanner)[2:]) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                out = [(key, r, sorted(i)) for key, r, i in out if r]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pair)), pa.array([o[2] for o in out], pa.list_(pa.string()))], names=["row", "ranges", "items"]
+                )
+
+        parts.append(save(kept.select(col(row), col(text_col)).mapInArrow(find, "row long, ranges array<array<long>>, items array<string>"), "hits"))
+        shared.unpersist()
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    key, ranges, names = (fresh([*docs.columns, row], c) for c in ("hit_row", "hit_ranges", "hit_items"))
+    whole = whole.groupBy(F.col("row").alias(key)).agg(F.flatten(F.collect_list("ranges")).alias(ranges), F.array_distinct(F.flatten(F.collect_list("items"))).alias(names))
+    joined = kept.join(whole, col(row) == col(key), "left").drop(row, key)
+    width = len(docs.columns)
+
+    def close(batches):
         for batch in batches:
             found = []
-            for text in batch.column(at).to_pylist():
+            for text, r, i in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()):
                 norm = normalise(text or "")
-                own = norm.split()
-                joined = " " + b" ".join(own).decode("latin-1") + " "
-                ranges, items = [], set()
-                for s in scanners:
-                    r, i = s.scan(joined)
-                    ranges += r
-                    items |= i
-                found.append((text, norm, len(own), merged(ranges), sorted(items)))
-            yield finish(batch, found)
+                found.append((text, norm, len(norm.split()), merged(r or []), sorted(i or [])))
+            yield finish(batch.select(list(range(width))), found)
 
-    return docs.mapInArrow(run, schema)
+    return joined.mapInArrow(close, schema)
+
+
+def merged(ranges) -> list[list[int]]:
+    """Overlapping or touching ranges as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(map(tuple, ranges)):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -141,7 +195,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str
         )
 
     schema = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
-    return _scan(narrow, _shards(benchmark, item_col, item_text_col, window), "text", finish, schema)
+    return _scan(narrow, benchmark, "text", item_col, item_text_col, window, finish, schema)
 
 
 def spans(text: str | None, norm: bytes, ranges) -> list[tuple[int, int]]:
@@ -176,7 +230,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_hit: float = 0.5, w
         out = batch.take(pa.array(keep, pa.int64())) if len(keep) < len(found) else batch
         return out.append_column(flag, pa.array(texts, pa.string()))
 
-    cut = _scan(docs, _shards(benchmark, item_col, item_text_col, window), text_col, finish, widened(docs, **{flag: "string"}))
+    cut = _scan(docs, benchmark, text_col, item_col, item_text_col, window, finish, widened(docs, **{flag: "string"}))
     changed = ~col(text_col).eqNullSafe(col(flag))
     out = [col(flag).alias(c) if k == at else (F.when(changed, F.length(col(flag))).otherwise(col(c)).cast(docs.schema[k].dataType).alias(c) if k == size else col(c)) for k, c in enumerate(docs.columns)]
     return cut.select(*out)
