@@ -7,6 +7,7 @@ gives the same merges. Texts the rank table is not proven on (special strings, c
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 
@@ -20,14 +21,15 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile(r"[^\t-\r -~\xa1-ɏ‐-‧‰-⁞€]")
 #: Spaces other than a blank and a line feed.
 SPACES = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0]")
-#: Chunks whose ids an encoder keeps.
-CACHE = 600_000
+#: Chunks whose ids an encoder keeps, and the longest of them.
+CACHE, CACHE_CHARS = 600_000, 64
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
 #: The same patterns for ``PLAIN`` texts, with the classes written out.
 BYTE_SPLIT = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\t-\r {_L}{_N}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 )
+_BLANKS = re.compile("  +")
 _RUN = re.compile(rf"[^\t-\r {_L}]+")
 _RUN_SPLIT = re.compile(rf"[{_N}]|[^\t-\r {_L}{_N}]+").findall
 _WORD_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\t-\r {_L}{_N}]+").findall
@@ -40,6 +42,11 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _has_quote(chunk: str) -> bool:
+    """Whether a chunk may hold a contraction, which splits other than by character class."""
+    return "'" in chunk
+
+
 def _spread(match: re.Match) -> str:
     return " " + " ".join(_RUN_SPLIT(match[0])) + " "
 
@@ -76,9 +83,7 @@ class Bpe:
                     ranks[raw + b" " * end] = i
             for b in range(256):
                 ranks.setdefault(bytes([b]), (1 << 20) + b)
-            self.ends = np.zeros(self.size, bool)
-            self.ends[[i for t, i in vocab.items() if len(t) > 4 and t.endswith("</w>")]] = True
-            self.ranks = tiktoken.Encoding("word", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+            self.ranks = tiktoken.Encoding("word", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={"\0": self.size})
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -101,6 +106,8 @@ class Bpe:
         """Whether the rank table is proven to give the library's ids for ``text``."""
         if self.ranks is None or any(s in text for s in self.special):
             return False
+        if text.isascii():
+            return "\0" not in text and not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
         return not PLAIN.search(text)
 
     def encode(self, text: str) -> np.ndarray:
@@ -114,7 +121,9 @@ class Bpe:
         made once and kept, in at most ``CACHE`` entries.
         """
         out: list = [None] * len(texts)
-        docs: list = []
+        open_: list = []
+        need: set[str] = set()
+        find = self.cache.get
         for k, text in enumerate(texts):
             chunks = self._chunks(text)
             if chunks is None:
@@ -123,17 +132,25 @@ class Bpe:
                 else:
                     ids = self.library.encode(text, add_special_tokens=False).ids
                 out[k] = np.array(ids, self.dtype).tobytes()
+                continue
+            got = list(map(find, chunks))
+            holes = [i for i, g in enumerate(got) if g is None]
+            if holes:
+                need.update([chunks[i] for i in holes])
+                open_.append((k, chunks, got, holes))
             else:
-                docs.append((k, chunks))
-        known, get = self.cache, self.cache.__getitem__
-        need = set().union(*(c for _, c in docs)).difference(known)
-        if len(known) + len(need) > CACHE:
-            known.clear()
-            need = set().union(*(c for _, c in docs))
+                out[k] = b"".join(got)
         if need:
+            if len(self.cache) + len(need) > CACHE:
+                self.cache.clear()
             self._learn(list(need))
-        for k, chunks in docs:
-            out[k] = b"".join(map(get, chunks))
+        for k, chunks, got, holes in open_:
+            for i in holes:
+                got[i] = self.cache[chunks[i]]
+            out[k] = b"".join(got)
+        for c in need:
+            if len(c) > CACHE_CHARS:
+                del self.cache[c]
         return out
 
     def _chunks(self, text: str) -> list[str] | None:
@@ -152,22 +169,18 @@ class Bpe:
 
     def _learn(self, need: list[str]) -> None:
         if self.kind == "byte":
-            heads = [c[1:] if c[:1] == "\0" else c if c[:1] == "\n" else " " + c for c in need]
-            ids = self.ranks.encode_to_numpy("\0".join(heads) + "\0", allowed_special={"\0"})
-            ends = np.flatnonzero(ids == self.size) * self.dtype.itemsize
-            raw, at = ids.astype(self.dtype).tobytes(), 0
-            for c, to in zip(need, ends.tolist()):
-                self.cache[c], at = raw[at:to], to + self.dtype.itemsize
-            return
-        spread = [
-            " ".join(_WORD_SPLIT(c)) + " " if "'" in c else " ".join(_RUN.sub(_spread, c).split()) + " " for c in need
-        ]
-        pieces = [c.count(" ") for c in spread]
-        ids = self.ranks.encode_to_numpy("".join(spread)).astype(self.dtype)
-        cuts = (np.flatnonzero(self.ends[ids])[np.cumsum(pieces) - 1] + 1) * self.dtype.itemsize
-        raw, at = ids.tobytes(), 0
-        for c, to in zip(need, cuts.tolist()):
-            self.cache[c], at = raw[at:to], to
+            parts = "\0".join([c[1:] if c[:1] == "\0" else c if c[:1] == "\n" else " " + c for c in need]) + "\0"
+        else:  # every pre-token ends with a blank, every chunk with a NUL
+            need.sort(key=_has_quote)
+            n = bisect.bisect_left(need, True, key=_has_quote)
+            spread = _RUN.sub(_spread, " \n".join(need[:n]) + " \n") if n else ""
+            parts = _BLANKS.sub(" ", spread).replace(" \n", " \0").replace("\0 ", "\0")
+            parts += "".join([" ".join(_WORD_SPLIT(c)) + " \0" for c in need[n:]])
+        ids = self.ranks.encode_to_numpy(parts, allowed_special={"\0"})
+        ends = np.flatnonzero(ids == self.size) * self.dtype.itemsize
+        raw, at, width, known = ids.astype(self.dtype).tobytes(), 0, self.dtype.itemsize, self.cache
+        for c, to in zip(need, ends.tolist()):
+            known[c], at = raw[at:to], to + width
 
     def pretokens(self, text: str) -> list[str]:
         """The pieces the merges work on; special strings, which count as one id, are left out."""
