@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import col
+from kinfold.llm.common import col, small_batches
 
 #: Hashed feature space: indicators of words, word pairs and shape marks.
 BITS = 18
@@ -142,6 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows without id, label or text are not learned from; of several labels of an id the least
     counts. Only feature indices of the sample reach the driver.
     """
+    small_batches(docs.sparkSession)
     own = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
     rank = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(3)), F.lit(1 << 20))
     n = own.count()
@@ -167,6 +168,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts get a score too, that of a text without features. Null ids and repeated
     rows pass through; an empty table gives no row.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

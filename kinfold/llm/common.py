@@ -74,6 +74,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WORD_SEP, -1), "")
 
 
+#: Rows of an Arrow batch at most, for texts that are long and workers that hold several copies.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep this session's Arrow batches small; a lower setting of its own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def widened(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of ``df`` with more columns, named and typed, that may be null."""
     return T.StructType([*df.schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in columns.items())])

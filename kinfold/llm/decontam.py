@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import col, fresh, save, widened
+from kinfold.llm.common import col, fresh, save, small_batches, widened
 
 #: Bytes of item text one automaton is built from: some 60,000 windows, about 150 MB.
 SHARD_BYTES = 400 << 10
@@ -97,6 +97,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, i
     automaton's hits are written beside them, and the last pass joins them by that key.
     """
     spark, at = docs.sparkSession, docs.columns.index(text_col)
+    small_batches(spark)
     items, n = _items(benchmark, item_col, item_text_col)
 
     def shard(k: int):

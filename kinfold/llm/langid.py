@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import col
+from kinfold.llm.common import col, small_batches
 
 #: Letters of labelled text an automaton is made of, per language, and per document of the sample.
 SAMPLE_CHARS, DOC_CHARS = 60_000, 2_000
@@ -164,6 +164,7 @@ def predict(docs: DataFrame, sample: dict[str, str], id_col: str = "doc_id", tex
     to the first language by name. Null ids and repeated rows pass through; an empty table gives
     no row.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(sample)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import col, fresh, save, widened
+from kinfold.llm.common import col, fresh, save, small_batches, widened
 
 #: log2 of the sketch's registers, and how far from the threshold an estimate decides alone.
 LG_K, BAND = 10, 0.25
@@ -76,6 +76,7 @@ def deduplicate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", te
     ``counts`` adds ``n_lines`` and ``n_removed`` (non-blank lines, and those cut).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     found = boilerplate(docs, min_sites, id_col, text_col, site_col)
     at, key = docs.columns.index(text_col), docs.columns.index(id_col)
     flag, total, cut = (fresh(docs.columns, c) for c in ("kept_text", "n_lines", "n_removed"))

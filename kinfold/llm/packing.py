@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm import bpe
-from kinfold.llm.common import col, save
+from kinfold.llm.common import col, save, small_batches
 
 #: Documents encoded at a time: bounds what a Python worker holds beside its batch.
 BLOCK = 256
@@ -29,6 +29,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
     ``local`` counts the ids before the document within its task. Null text is empty. ``ids`` are
     unsigned little-endian, of the width the vocabulary needs.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
 

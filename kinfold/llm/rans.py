@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm import bpe
-from kinfold.llm.common import col, save, scratch_root
+from kinfold.llm.common import col, save, scratch_root, small_batches
 
 BITS = 16
 #: Ids a block holds before it is closed; a longer document is a block of its own.
@@ -131,6 +131,7 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_
     """Documents in ascending id order as blocks of uncoded ids, written to the shared folder."""
     id_type = docs.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
+    small_batches(spark)
     narrow = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # Ties and null ids: nulls first, equal ids by text, so that a rerun gives the same files.
@@ -234,6 +235,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Blocks decode independently; a block whose checksum does not match raises. The broadcast
     tables are bounded: the frequencies by the vocabulary, the index by the number of parts.
     """
+    small_batches(spark)
     table = spark.read.parquet(f"{path}/freq").toArrow()
     used = np.asarray(table["id"], np.int64)
     freq = np.zeros(int(used.max()) + 1 if len(used) else 1, np.int64)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import col, fresh, save
+from kinfold.llm.common import col, fresh, save, small_batches
 
 #: Distinct fingerprints of one shard beyond which it is dealt out again.
 SPLIT = 20_000
@@ -56,6 +56,7 @@ def _signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``doc_id, fp`` for every row: the fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

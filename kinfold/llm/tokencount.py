@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import bpe
-from kinfold.llm.common import col, save
+from kinfold.llm.common import col, save, small_batches
 
 #: Most pre-tokens that can be broadcast, and the longest of them in characters.
 HOT, HOT_CHARS = 1_000_000, 32
@@ -63,6 +63,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     null, an empty table gives no row.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     table = pretoken_table(docs, tokenizer, text_col)
     total = table.agg(F.sum("freq")).first()[0] or 0
