@@ -36,7 +36,7 @@ def windows(items, window: int) -> dict[str, list[str]]:
     """Each window, blank-framed, with the ids of its items (null ids: none)."""
     found: dict[str, set] = {}
     for key, text in items:
-        own = normalise(text or "").decode("latin-1").split()
+        own = [w.decode("latin-1") for w in normalise(text or "").split()]
         n = min(window, len(own))
         for i in range(len(own) - n + 1 if n else 0):
             found.setdefault(" " + " ".join(own[i : i + n]) + " ", set()).update(() if key is None else (str(key),))

@@ -314,6 +314,23 @@ def test_decontamination_in_several_automata(spark, monkeypatch):
     assert all(r["n_hit"] == 24 and r["n_items"] == 2 for r in want)
 
 
+def test_decontamination_of_words_with_high_bytes(spark):
+    """Bytes 0x85 and 0xA0 of à, Å, Cyrillic and U+00A0 part no words; held to brute force."""
+    texts = ["Ça va à la mer, à Åre", "Россия и хлеб на столе", "a\u00a0b c\u0085d e", "同じ 入力 です", "plain words only"]
+    rows = [(i, f"Before. {t} After {t.upper()}") for i, t in enumerate(texts)]
+    items = list(enumerate(texts))
+
+    def words(t):
+        return "".join(c.lower() if "A" <= c <= "Z" else c if c.isascii() and c.isalnum() or c > "\x7f" else " " for c in t).split(" ")
+
+    got = by_id(decontam.report(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=3))
+    wins = {tuple(w[k : k + 3]) for _, t in items for w in [[x for x in words(t) if x]] for k in range(max(1, len(w) - 2))}
+    for i, t in rows:
+        own = [x for x in words(t) if x]
+        hit = {k + j for n in {len(w) for w in wins} for k in range(len(own) - n + 1) if tuple(own[k : k + n]) in wins for j in range(n)}
+        assert hit and got[i]["n_words"] == len(own) and got[i]["n_hit"] == len(hit)
+
+
 def test_binary_output(spark, docs, tmp_path):
     path = rans.write(docs, f"file://{tmp_path}/set")
     rows = rans.read(spark, path).orderBy("start").collect()
