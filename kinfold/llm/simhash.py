@@ -223,7 +223,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows (same id and text) are kept once. Rows without an id are always kept. An empty
     table stays empty.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius).where("doc_id is not null")
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, shingle, radius), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without those whose ``component_id`` in ``found`` is another document's id."""
+    found = found.where("doc_id is not null")
     byid = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
     byid = save(byid.where("n > 1 or not kept"), "copies")
     name = fresh(docs.columns, "gone")

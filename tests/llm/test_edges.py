@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from kinfold.llm import bpe, classifier, decontam, langid, linededup, packing, pii, quality, rans, simhash, tokencount
+from kinfold.llm import bpe, classifier, decontam, langid, linededup, packing, pii, quality, rans, resemblance, simhash, tokencount
 from kinfold.llm.common import fresh
 
 LONG = " ".join(f"word{i % 977} line." + ("\n" if i % 50 == 0 else "") for i in range(30_000))
@@ -205,6 +205,39 @@ def test_components_of_a_long_chain(spark):
     assert simhash.components(edges.where("false")).count() == 0
 
 
+def test_near_dedup_stage_links_all_pairs_that_resemble(spark, sf_dir):
+    """Against brute force over five-word shingles at 0.8, on generated edits and the smallest table."""
+    rng = np.random.default_rng(7)
+    texts = [PROSE, PROSE.upper(), "", " \t", "one two", "one  TWO", "one two three", None]
+    for g in range(6):
+        base = [f"w{int(x)}" for x in rng.integers(0, 60, 40 + 30 * g)]
+        for _ in range(10):
+            own = list(base)
+            for k in rng.integers(0, len(own), rng.integers(0, 5)):
+                own[int(k)] = f"x{int(rng.integers(0, 9))}"
+            texts.append(" ".join(own))
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    rows = [(i, t, "en", "s", 1, "x") for i, t in enumerate(texts)]
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+    n = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 10 * len(a & b) >= 8 * len(a | b):
+                n += a != b
+                hi, lo = max(root[i], root[j]), min(root[i], root[j])
+                root = [lo if r == hi else r for r in root]
+    assert n > 20
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in resemblance.near_duplicates(df).collect()}
+    assert got == dict(enumerate(root))
+    kept = corpus_pipeline.near_dedup(spark, df, sf_dir)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in enumerate(root) if r == i}
+
+
 def test_line_dedup(spark, docs, monkeypatch):
     shared = "A line that stands on every site."
     rows = [(i, f"{shared}\nOwn line {i}.\n\n  {shared} ", "en", f"site{i}", 9, None) for i in range(12)] + [(50, f"{shared}\nTwo sites", "en", "site1", 9, None), (51, None, "en", None, None, None)]
