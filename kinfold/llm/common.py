@@ -74,6 +74,29 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WORD_SEP, -1), "")
 
 
+#: A key that holds more than one in so many of a side's rows is hot, and dealt out over so many parts.
+HOT_KEYS, DEALS = 20_000, 64
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``key`` of those rows of ``counts`` whose ``n`` is a share of ``total`` that makes them hot:
+    at most ``HOT_KEYS``, so that they can be broadcast."""
+    return counts.where(F.col(n) * HOT_KEYS >= max(total, HOT_KEYS * DEALS)).select(key)
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """The inner join on ``key`` of a side with hot keys and one with a row per key: rows of a hot
+    key are dealt out over ``DEALS`` tasks, its row of ``right`` to each of them."""
+    deal, flag = fresh([*left.columns, *right.columns], "deal"), fresh([*left.columns, *right.columns], "is_hot")
+    hot = F.broadcast(hot.select(key, F.lit(True).alias(flag)))
+    held = [col(f.name) for f in left.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    some = F.pmod(F.xxhash64(*held), F.lit(DEALS)).cast("int")
+    many = left.join(hot, key, "left").withColumn(deal, F.when(col(flag), some).otherwise(0)).drop(flag)
+    all_ = F.when(col(flag), F.sequence(F.lit(0), F.lit(DEALS - 1))).otherwise(F.array(F.lit(0)))
+    one = right.join(hot, key, "left").withColumn(deal, F.explode(all_)).drop(flag)
+    return many.join(one, [key, deal]).drop(deal)
+
+
 #: Rows of an Arrow batch at most, for texts that are long and workers that hold several copies.
 BATCH_ROWS = 1000
 

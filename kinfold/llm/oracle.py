@@ -50,8 +50,7 @@ LINE_DEDUP = f"""
 with raw as (select doc_id, source, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as p
   from documents where text is not null),
 lines as (select *, {_STRIP} as s from raw),
-copies as (select text, min(coalesce(source, '')) as site from documents where text is not null group by text),
-spread as (select s from lines join copies using (text) where s <> '' group by s having count(distinct site) >= 10),
+spread as (select s from lines where s <> '' group by s having count(distinct coalesce(source, '')) >= 10 and count(distinct text) >= 10),
 firsts as (select s, min(doc_id) as first_id from lines semi join spread using (s) group by s),
 judged as (select l.*, f.first_id, row_number() over (partition by l.doc_id, l.s order by p) as nth from lines l left join firsts f using (s)),
 kept as (select *, first_id is null or (first_id = doc_id and nth = 1) as keep from judged)

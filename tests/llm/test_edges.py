@@ -220,12 +220,15 @@ def test_line_dedup(spark, docs, monkeypatch):
     shared = "A line that stands on every site."
     rows = [(i, f"{shared}\nOwn line {i}.\n\n  {shared} ", "en", f"site{i}", 9, None) for i in range(12)] + [(50, f"{shared}\nTwo sites", "en", "site1", 9, None), (51, None, "en", None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA)
+    # Spaces outside ASCII are part of a line; so these two are no copies of the shared one.
+    df = df.unionByName(spark.createDataFrame([(60 + i, f"{c}{shared}\nLast {i}", "en", f"site{i}", 9, None) for i, c in enumerate("\u00a0\u0085\x1c")] + [(None, f"{shared}\nNo id", "en", "site3", 9, None)], SCHEMA))
     for bound in (linededup.BROADCAST_LINES, 0):
         monkeypatch.setattr(linededup, "BROADCAST_LINES", bound)
         got = {r["doc_id"]: r for r in linededup.deduplicate(df, min_sites=10, counts=True).collect()}
         assert got[0]["text"] == f"{shared}\nOwn line 0.\n" and got[0]["n_removed"] == 1
         assert got[3]["text"] == "Own line 3.\n" and got[3]["n_lines"] == 3 and got[3]["n_chars"] == 12
-        assert got[50]["text"] == "Two sites" and got[51]["text"] is None
+        assert got[50]["text"] == "Two sites" and got[51]["text"] is None and got[None]["text"] == "No id"
+        assert all(got[60 + i]["text"] == f"{c}{shared}\nLast {i}" for i, c in enumerate("\u00a0\u0085\x1c"))
         same = linededup.deduplicate(docs, min_sites=10)
         assert same.columns == docs.columns and same.count() == len(ROWS)
         assert {(r["doc_id"], r["text"]) for r in same.collect()} == {r[:2] for r in ROWS}
@@ -236,6 +239,10 @@ def test_copies_do_not_make_boilerplate(spark):
     rows = [(i, "One page, copied\nto many sites.", "en", f"site{i}", 9, None) for i in range(30)]
     got = linededup.deduplicate(spark.createDataFrame(rows, SCHEMA), counts=True).collect()
     assert all(r["n_removed"] == 0 for r in got)
+    # But all sites of copied pages count: ten texts, each also on the least site.
+    rows = [(100 * k + i, f"Shared line\nPage {k}.", "en", ["site0", f"site{k}"][i], 9, None) for k in range(1, 11) for i in range(2)]
+    got = linededup.deduplicate(spark.createDataFrame(rows, SCHEMA), counts=True).collect()
+    assert sum(r["n_removed"] for r in got) == 19
 
 
 def test_near_threshold_lines_are_counted_exactly(spark):
