@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import col, fresh, save, small_batches
+from kinfold.llm.common import col, dealt_join, fresh, hot_keys, save, small_batches
 
 #: Distinct fingerprints of one shard beyond which it is dealt out again.
 SPLIT = 20_000
@@ -176,18 +176,19 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the least node each node of ``edges`` (``a, b``) is connected to.
 
-    Alternating large-star and small-star steps, each a partially aggregated minimum and a join,
-    until no edge changes; every step is written to the shared folder.
+    Alternating large-star and small-star steps, each a partially aggregated minimum and a join
+    that deals out the edges of hubs, until no edge changes; every step is written to the shared
+    folder.
     """
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _digest(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+        large = dealt_join(both.where("b > a"), least.drop("n"), "a", hot_keys(least, "a", "n", 2 * state[0])).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = save(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(low, "a")
+        low = save(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        pairs = dealt_join(large, low.drop("n"), "a", hot_keys(low, "a", "n", state[0]))
         small = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         now = save(small.where("a <> b").distinct(), "small-star")
         before, state = state, _digest(now)
@@ -200,6 +201,19 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
 
 
+def least_of_class(least: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``key, component_id`` by ``least`` (``key, least``) and the roots of linked keys.
+
+    Only linked keys are joined; a class of many of them is a hub like any other.
+    """
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    linked = save(roots.join(least, F.col("node") == F.col(key)).select("root", key, "least"), "linked")
+    low = save(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "classes")
+    total = low.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    named = dealt_join(linked.select("root", key), low.select("root", "component_id"), "root", hot_keys(low, "root", "n", total)).select(F.col(key).alias("_key"), "component_id")
+    return least.join(named, F.col(key) == F.col("_key"), "left").select(key, F.when(F.col("_key").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """One row per document: ``doc_id, fingerprint, component_id``.
 
@@ -209,11 +223,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat. An empty table gives no row.
     """
     marks = save(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    least = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(marks, radius))
-    grouped = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    classes = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marks.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = save(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "least")
+    classes = least_of_class(least, components(links(marks, radius)), "fp")
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return dealt_join(marks, classes, "fp", hot_keys(least, "fp", "n", total)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -226,14 +239,28 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return keep_least(docs, near_duplicates(docs, id_col, text_col, shingle, radius), id_col, text_col)
 
 
+#: Ids of documents to drop that are broadcast at most (8 bytes each, or a string's length).
+BROADCAST_IDS = 4_000_000
+
+
 def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` without those whose ``component_id`` in ``found`` is another document's id."""
+    """``docs`` without those whose ``component_id`` in ``found`` is another document's id.
+
+    The ids to drop are broadcast if their number allows, so that no text is moved; else rows that
+    have an id are shuffled by it.
+    """
     found = found.where("doc_id is not null")
     byid = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
     byid = save(byid.where("n > 1 or not kept"), "copies")
     name = fresh(docs.columns, "gone")
     gone = byid.where("not kept").select(F.col("doc_id").alias(name))
-    left = docs.join(gone.hint("shuffle_hash"), col(id_col) == col(name), "left_anti")
-    if byid.where("n > 1").limit(1).count():
-        return left.where(col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(left.where(col(id_col).isNull()))
-    return left
+    if gone.count() <= BROADCAST_IDS:
+        left = docs.join(F.broadcast(gone), col(id_col) == col(name), "left_anti")
+    else:
+        left = docs.where(col(id_col).isNotNull()).join(gone.hint("shuffle_hash"), col(id_col) == col(name), "left_anti").unionByName(docs.where(col(id_col).isNull()))
+    again = byid.where("n > 1 and kept").select(F.col("doc_id").alias(name))
+    if again.isEmpty():
+        return left
+    same = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    once = left.join(same, col(id_col) == col(name), "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(same, col(id_col) == col(name), "left_anti").unionByName(once)
