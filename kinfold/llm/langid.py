@@ -1,33 +1,41 @@
 """Language identification by cross-parsing.
 
-A suffix automaton per language holds a sample of its labelled text. A new text is parsed greedily
-into the longest phrases each automaton contains; the language that needs the fewest phrases for
-the text's length is predicted. Words are parsed framed by blanks and phrases end with them, so a
-word's phrases are counted once per worker and a text costs one lookup per word.
+A suffix automaton per language holds the commonest distinct words of a sample of its labelled
+documents. A new text is parsed greedily into the longest phrases each automaton contains; the
+language that needs the fewest phrases for the text's length is predicted. Words are parsed framed
+by blanks and phrases end with them, so a word's phrases are counted once per worker and a text
+costs one lookup per word.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import col, small_batches
 
-#: Letters of labelled text an automaton is made of, per language, and per document of the sample.
-SAMPLE_CHARS, DOC_CHARS = 60_000, 2_000
-#: Words whose phrase counts a worker keeps, and the longest of them.
-WORDS, WORD_CHARS = 800_000, 64
+#: Labelled documents of a language that are learned from (about; chosen by a hash, read whole), the
+#: letters its automaton is made of at most, and those of all automata together. A letter makes two
+#: states at most, some 500 bytes in a worker.
+SAMPLE_DOCS, SAMPLE_CHARS, TOTAL_CHARS = 400, 30_000, 600_000
+#: Phrase counts (words times languages) a worker keeps, and the longest word kept.
+CELLS, WORD_CHARS = 3_200_000, 64
+#: Distinct words of the sample a task holds before it passes their counts on.
+HELD = 300_000
 _words = re.compile(r"[^\W\d_]+").findall
 
 
 def normalise(text: str) -> list[str]:
-    """The text's words: runs of letters, lower case."""
-    return _words(text.lower())
+    """The text's words: runs of letters (Unicode category L), lower case."""
+    own = _words(text.lower())
+    if not "".join(own).isalpha():  # numerals such as a half or a superscript are in no category of digits
+        own = [w for run in own for w in "".join(c if c.isalpha() else " " for c in run).split()]
+    return own
 
 
 class Automaton:
@@ -83,9 +91,10 @@ class Parser:
     def __init__(self, sample: dict[str, str]):
         self.names = sorted(sample)
         # Phrases lie within words, so each distinct word of a sample is needed once.
+        self.room = max(1, CELLS // max(1, len(self.names)))
         self.automata = [Automaton(" " + " ".join(dict.fromkeys(normalise(sample[k]))) + " ") for k in self.names]
         self.index: dict[str, int] = {}
-        self.table = np.zeros((WORDS, len(self.names)), np.int32)
+        self.table = np.zeros((self.room, len(self.names)), np.int32)
 
     def count(self, word: str) -> list[int]:
         framed = f" {word} "
@@ -98,9 +107,9 @@ class Parser:
         total = np.zeros(len(self.names), np.int64)
         if None in got:
             new = [w for w in set(own).difference(index) if len(w) <= WORD_CHARS]
-            if len(index) + len(new) > WORDS:
+            if len(index) + len(new) > self.room:
                 index.clear()
-                new = [w for w in set(own) if len(w) <= WORD_CHARS][:WORDS]
+                new = [w for w in set(own) if len(w) <= WORD_CHARS][: self.room]
             for w in new:
                 table[len(index)] = self.count(w)
                 index[w] = len(index)
@@ -113,24 +122,44 @@ class Parser:
         return total + table[np.array(got, np.int64)].sum(axis=0, dtype=np.int64)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """A bounded sample of labelled text per language, for :func:`predict`.
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
+    """The words each language's automaton is made of, for :func:`predict`.
 
-    Documents are taken in an order set by a hash of their id, which no language or length
-    influences; only the sample, ``sample_chars`` letters a language, reaches the driver.
+    Per language about ``sample_docs`` rows are read whole, chosen by a hash of id and text; their
+    words are counted where they are read, and the commonest (then the first by letters) make up
+    ``sample_chars`` letters, less where there are over twenty languages (``TOTAL_CHARS``). Only these
+    reach the driver. Repeated rows are chosen together, and rows without id by their text.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(col(lang_col).isNotNull() & col(text_col).rlike(r"\p{L}"))
-    rows = rows.select(col(lang_col).cast("string").alias("lang"), F.xxhash64(col(id_col).cast("string")).alias("rank"), col(text_col).alias("text"))
-    # The lowest rank of each language and bucket: enough text, and bounded whatever the table.
-    need = math.ceil(sample_chars / DOC_CHARS) * 4
-    picks = rows.groupBy("lang", F.pmod("rank", F.lit(need)).alias("bucket")).agg(F.min("rank").alias("rank")).select("lang", "rank")
-    text = F.substring(F.regexp_replace(F.lower(F.substring("text", 1, DOC_CHARS)), r"[^\p{L}]+", " "), 1, DOC_CHARS)
-    best = rows.join(F.broadcast(picks), ["lang", "rank"]).select("lang", "rank", text.alias("text")).dropDuplicates(["lang", "rank"]).toArrow().to_pylist()
-    sample: dict[str, str] = {}
-    for r in sorted(best, key=lambda r: (r["lang"], r["rank"])):
-        if len(sample.setdefault(r["lang"], "")) < sample_chars:
-            sample[r["lang"]] = (sample[r["lang"]] + " " + r["text"].strip())[:sample_chars]
-    return sample
+    rank = F.pmod(F.xxhash64(col(id_col).cast("string"), col(text_col)), F.lit(1 << 20))
+    rows = rows.select(col(lang_col).cast("string").alias("lang"), rank.alias("rank"), col(text_col).alias("text"))
+    sizes = rows.groupBy("lang").agg(F.greatest(F.lit(1), F.ceil(F.lit(sample_docs << 20) / F.count("*"))).alias("share"))
+    chosen = rows.join(F.broadcast(sizes), "lang").where("rank < share").select("lang", "text")
+
+    def count(batches):
+        held: Counter = Counter()
+
+        def flush():
+            made = pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.string()), pa.array([w for _, w in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "word", "n"])
+            held.clear()
+            return made
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.update((lang, w) for w in normalise(text) if len(w) <= WORD_CHARS)
+                if len(held) > HELD:
+                    yield flush()
+        yield flush()
+
+    words = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    best = words.select("lang", "word", F.row_number().over(order).alias("at"), F.sum(F.length("word") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("chars")).where(F.col("chars") <= sample_chars)
+    sample: dict[str, list] = {}
+    for r in best.orderBy("lang", "at").toArrow().to_pylist():
+        sample.setdefault(r["lang"], []).append(r["word"])
+    share = min(sample_chars, TOTAL_CHARS // max(1, len(sample)))
+    return {k: " ".join(v)[:share] for k, v in sample.items()}
 
 
 _made: dict[int, tuple[dict, Parser]] = {}

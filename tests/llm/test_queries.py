@@ -217,12 +217,50 @@ def test_automaton_finds_the_longest_phrases():
         assert a.phrases(probe) == brute_phrases(probe, sample)
 
 
+def test_language_matches_a_plain_parse(spark, sf_dir, docs, results):
+    """The whole query against a parse by substring search, given the words learned."""
+    sample = langid.learn(spark.read.parquet(f"{sf_dir}/documents.parquet").where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+    assert set(sample) == set(docs.lang.dropna())
+    seen = {w for i, t, k in zip(docs.doc_id, docs.text, docs.lang) if not held_out(i) and t and k for w in plain_words(t)}
+    assert all(set(v.split()[:-1]) <= seen and len(v) <= langid.SAMPLE_CHARS for v in sample.values())
+    known = {}
+
+    def cost(w, k):
+        if (w, k) not in known:
+            known[w, k] = brute_phrases(f" {w} ", f" {sample[k]} ")
+        return known[w, k]
+
+    got = results("op4_language_id").set_index("doc_id").lang_pred
+    for i, text in zip(docs.doc_id, docs.text):
+        own = plain_words(text or "")
+        assert got[i] == (min(sorted(sample), key=lambda k: sum(cost(w, k) for w in own)) if own else "und")
+
+
+def plain_words(text):
+    import regex
+
+    return regex.findall(r"\p{L}+", text.lower())
+
+
+def test_texts_without_a_letter_are_undetermined(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["½ ²", "①②③", "٣٤", "__ 12", "\u0301", "x²", "日本"])], "doc_id long, text string")
+    got = [r["lang_pred"] for r in langid.predict(docs, {"a": "the cat", "b": "le chat"}).orderBy("doc_id").collect()]
+    assert [p == "und" for p in got] == [True] * 5 + [False] * 2
+
+
+def test_learning_does_not_depend_on_order(spark):
+    rows = [(None, "one two three", "en"), (None, "four five six", "en"), (1, "eins zwei", "de"), (1, "drei vier", "de"), (1, "drei vier", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = langid.learn(df)
+    assert want == langid.learn(spark.createDataFrame(rows[::-1], df.schema).repartition(3)) == {"en": "five four one six three two", "de": "drei vier eins zwei"}
+
+
 def test_remembered_words_count_as_fresh_ones(monkeypatch):
     sample = {"a": "the cat sat on the mat", "b": "le chat est sur la table"}
     own = langid.normalise("The chat sat sur the mat; le mat, zut " + "x" * 100) * 3
     want = [sum(brute_phrases(f" {w} ", " " + sample[k] + " ") for w in own) for k in "ab"]
-    for room in (langid.WORDS, 3):
-        monkeypatch.setattr(langid, "WORDS", room)
+    for room in (langid.CELLS, 6):
+        monkeypatch.setattr(langid, "CELLS", room)
         parser = langid.Parser(sample)
         for _ in range(2):
             assert parser.phrases(own).tolist() == want
