@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import col, small_batches
+from kinfold.llm.common import col, save, small_batches
 
-#: Hashed feature space: indicators of words, word pairs and shape marks.
+#: Hashed feature space: indicators of words and word pairs, behind the places of shape marks.
 BITS = 18
-#: Labelled documents the model is fitted on at most (by a hash of the id), and distinct features
-#: of one document that reach the driver.
-SAMPLE = 6_000
 SHAPES = 1_000
+#: Labelled documents the model is fitted on at most (about; by a hash of the id), and features of
+#: them, four bytes each, that reach the driver: with long documents, fewer are fitted on.
+SAMPLE, FEATURES = 6_000, 16_000_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _known: dict[str, int] = {}
 
@@ -136,8 +136,9 @@ def _calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on at most about ``sample`` labelled documents, chosen by a hash of the id.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, budget: int = FEATURES) -> Model:
+    """Fit on at most about ``sample`` labelled documents with ``budget`` features in all, the first
+    by a hash of the id.
 
     Rows without id, label or text are not learned from; of several labels of an id the least
     counts. Only feature indices of the sample reach the driver.
@@ -155,10 +156,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(f, pa.list_(pa.int32()))], names=["id", "label", "f"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    table = texts.select("id", "text", "label").mapInArrow(run, f"id {kind}, label int, f array<int>").toArrow()
+    made = save(texts.select("id", "text", "label").mapInArrow(run, f"id {kind}, label int, f array<int>").withColumn("rank", rank), "features")
+    sizes = made.select("rank", F.size("f").alias("n")).orderBy("rank").toArrow()
+    within = np.cumsum(sizes["n"].to_numpy()) <= budget if sizes.num_rows else np.ones(0, bool)
+    last = int(sizes["rank"].to_numpy()[within][-1]) if within.all() and len(within) else int(sizes["rank"].to_numpy()[~within][0]) - 1 if len(within) else -1
+    table = made.where(F.col("rank") <= last).drop("rank").toArrow()
     order = np.argsort(np.array([str(i) for i in table["id"].to_pylist()]), kind="stable") if table.num_rows else []
     lists = table["f"].combine_chunks()
-    rows = [np.asarray(lists[int(k)].values, np.int64) for k in order]
+    rows = [np.asarray(lists[int(k)].values) for k in order]
     return fit(rows, np.asarray(table["label"], np.int64)[order] if table.num_rows else np.empty(0, np.int64))
 
 

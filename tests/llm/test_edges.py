@@ -111,12 +111,18 @@ def test_pii_keeps_formats_and_links_values(spark, docs):
     assert pii.pseudonymise(docs.where("false"), "k").count() == 0
 
 
-def test_classifier(spark, docs):
+def test_classifier(spark, docs, monkeypatch):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 0), (None, 1, 0), (99, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     model = classifier.learn(docs, labels)
     rows = classifier.score(docs, model).collect()
     assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
     assert classifier.score(docs.where("false"), model).count() == 0
+    sizes, fit = [], classifier.fit
+    monkeypatch.setattr(classifier, "fit", lambda rows, y: sizes.append(sum(map(len, rows))) or fit(rows, y))
+    for budget in (10, 200, 10**6):
+        classifier.learn(docs, labels, budget=budget)
+        assert sizes[-1] <= budget
+    assert sizes[0] < sizes[-1]
     empty = classifier.learn(docs, labels.where("false"))
     assert {r["score"] for r in classifier.score(docs, empty).collect()} == {0.5}
 
