@@ -2,12 +2,13 @@
 
 Pieces are counted once per distinct pre-token and joined to each document's pre-token
 frequencies. Pre-tokens that make up at least one in ``HOT`` of all occurrences, of which there are
-``HOT`` at most, are broadcast and summed where the document is read; what remains is joined by
-shuffle, so no vocabulary is too large.
+``HOT`` at most, are broadcast and summed where the document is read, the long ones under a digest;
+what remains is joined by shuffle, so no vocabulary is too large and no key of the join is hot.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from kinfold.llm import bpe
 from kinfold.llm.common import col, save, small_batches
 
-#: Most pre-tokens that can be broadcast, and the longest of them in characters.
+#: Most pre-tokens that can be broadcast, and the characters beyond which a digest stands for one.
 HOT, HOT_CHARS = 1_000_000, 32
 #: Distinct pre-tokens a task holds, and characters it reads, before it passes their counts on.
 HELD, HELD_CHARS = 300_000, 1 << 28
@@ -67,7 +68,8 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     id_type = docs.schema[id_col].dataType.simpleString()
     table = pretoken_table(docs, tokenizer, text_col)
     total = table.agg(F.sum("freq")).first()[0] or 0
-    hot = table.where((F.length("pretoken") <= HOT_CHARS) & (F.col("freq") * HOT >= total)).select("pretoken", "n").toArrow()
+    name = F.when(F.length("pretoken") <= HOT_CHARS, F.col("pretoken")).otherwise(F.concat(F.lit("\0"), F.sha2("pretoken", 256)))
+    hot = table.where(F.col("freq") * HOT >= total).select(name.alias("pretoken"), "n").toArrow()
     shared = spark.sparkContext.broadcast((hot["pretoken"].to_pylist(), np.asarray(hot["n"], np.int32)))
 
     def run(batches):
@@ -83,7 +85,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
                     freq = Counter(enc.pretokens(text))
                     total, cold = enc.specials(text), []
                     for piece, f in freq.items():
-                        n = known.get(piece)
+                        n = known.get(piece if len(piece) <= HOT_CHARS else "\0" + hashlib.sha256(piece.encode()).hexdigest())
                         if n is None:
                             cold.append({"pretoken": piece, "f": f})
                         else:
