@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,23 +32,38 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_root
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder, kept in mind for :func:`clear`."""
+    path = f"{scratch_root(spark)}/kinfold-{uuid.uuid4().hex}-{tag}"
+    _written.append(path)
+    return path
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/kinfold-{uuid.uuid4().hex}-{tag}"
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
+def clear(spark: SparkSession, since: int = 0) -> None:
     """Delete the scratch tables written so far. Results that still read them must be used before."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
+    while len(_written) > since:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the scratch tables written inside, also after a failure; so write results inside."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        clear(spark, before)
+
+
 def fresh(taken: Iterable[str], base: str) -> str:
     """A column name that clashes with none of ``taken`` (names compare without case)."""
     low = {c.lower() for c in taken}

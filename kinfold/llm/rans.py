@@ -10,14 +10,14 @@ writer's commit makes a lost executor's half-written blocks vanish):
 
 Payload, little-endian: u32 lanes, u32 steps, u32 n, u32 checkpoints; per checkpoint u32 word
 position and ``lanes`` u32 states; u32 words; the u16 words. Id ``k`` is coded by lane
-``k % lanes`` at step ``k // lanes``; a checkpoint every ``STRIDE`` steps lets a reader start there.
-The states are 32 bits wide, renormalised by 16, and the code is exact: every id that occurs has a
-frequency of 1 at least.
+``k % lanes`` at step ``k // lanes``; a checkpoint every ``STRIDE`` steps lets a reader start there,
+so the stretches between checkpoints are decoded side by side, and :func:`read_range` decodes only
+those it needs. The states are 32 bits wide, renormalised by 16, and the code is exact: every id
+that occurs has a frequency of 1 at least (so 65,536 different ids are the most a set can hold).
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -27,13 +27,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm import bpe
-from kinfold.llm.common import col, save, scratch_root, small_batches
+from kinfold.llm.common import col, new_path, save, small_batches
 
 BITS = 16
-#: Ids a block holds before it is closed; a longer document is a block of its own.
+#: Ids a block holds before it is closed: the document that fills it is its last, however long.
 BLOCK_IDS = 1 << 16
-STRIDE = 64
+#: Lanes of a block at most, and steps between two checkpoints.
+LANES, STRIDE = 256, 64
 BATCH = 256
+#: Bytes of ids a part of the set is meant to hold.
+PART_BYTES = 128 << 20
 
 
 def normalise(counts: np.ndarray) -> np.ndarray:
@@ -69,7 +72,7 @@ class Coder:
 
     @staticmethod
     def lanes(n: int) -> int:
-        return int(min(1024, max(1, 1 << max(0, (n // 32).bit_length() - 1))))
+        return int(min(LANES, max(1, 1 << max(0, (n // 32).bit_length() - 1))))
 
     def encode(self, ids: np.ndarray) -> bytes:
         n = len(ids)
@@ -99,83 +102,103 @@ class Coder:
         return head + body + np.array([total], "<u4").tobytes() + stream.tobytes()
 
     def decode(self, payload: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
-        """The ids of checkpoints ``first`` up to ``last`` (excluded; all by default)."""
+        """The ids of checkpoints ``first`` up to ``last`` (excluded; all by default), all at a time."""
         lanes, steps, n, marks = (int(v) for v in np.frombuffer(payload, "<u4", 4))
-        if not n:
-            return np.empty(0, np.uint32)
         last = marks if last is None else min(last, marks)
-        size = 4 + 4 * lanes
-        at = 16 + size * marks
+        if not n or first >= last:
+            return np.empty(0, np.uint32)
+        at = 16 + (4 + 4 * lanes) * marks
         stream = np.frombuffer(payload, "<u2", int(np.frombuffer(payload, "<u4", 1, at)[0]), at + 4)
-        pos = int(np.frombuffer(payload, "<u4", 1, 16 + size * first)[0])
-        state = np.frombuffer(payload, "<u4", lanes, 16 + size * first + 4).astype(np.uint32)
-        stop = min(steps, last * STRIDE)
-        out = np.empty((max(0, stop - first * STRIDE), lanes), np.uint32)
-        for k, t in enumerate(range(first * STRIDE, stop)):
-            live = min(lanes, n - t * lanes)
-            x = state[:live]
-            slot = x & np.uint32(0xFFFF)
+        table = np.frombuffer(payload, "<u4", marks * (1 + lanes), 16).reshape(marks, 1 + lanes)[first:last]
+        pos, state = table[:, 0].astype(np.int64), table[:, 1:].astype(np.uint32)
+        begin = np.arange(first, last) * STRIDE
+        deep = min(STRIDE, steps - first * STRIDE)
+        out = np.empty((last - first, deep, lanes), np.uint32)
+        lane = np.arange(lanes)
+        for k in range(deep):
+            slot = state & np.uint32(0xFFFF)
             sym = self.symbol[slot]
-            out[k, :live] = sym
-            x = self.freq[sym] * (x >> np.uint32(BITS)) + slot - self.start[sym]
-            low = x < np.uint32(1 << 16)
-            need = int(np.count_nonzero(low))
-            if need:
-                x[low] = (x[low] << np.uint32(16)) | stream[pos : pos + need]
-                pos += need
-            state[:live] = x
-        return out.ravel()[: n - first * STRIDE * lanes]
-
-
-def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents in ascending id order as blocks of uncoded ids, written to the shared folder."""
+            out[:, k] = sym
+            state = self.freq[sym] * (state >> np.uint32(BITS)) + slot - self.start[sym]
+            low = state < np.uint32(1 << 16)
+            if (begin[-1] + k + 1) * lanes > n:  # the last stretch ends before the others, within its lanes
+                low[-1] &= lane < n - (begin[-1] + k) * lanes
+            need = np.count_nonzero(low, axis=1)
+            place = np.repeat(pos - (np.cumsum(need) - need), need) + np.arange(int(need.sum()))
+            state[low] = (state[low] << np.uint32(16)) | stream[place]
+            pos += need
+        whole = out[:-1].reshape(-1)
+        return np.concatenate([whole, out[-1].reshape(-1)[: n - int(begin[-1]) * lanes]])
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n, ids`` for every row, in the shared folder; ids of the width the vocabulary needs."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
-    spark = docs.sparkSession
-    small_batches(spark)
-    narrow = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    # Ties and null ids: nulls first, equal ids by text, so that a rerun gives the same files.
-    ordered = narrow.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches):
         enc = bpe.encoder(bpe.default_path(tokenizer))
         closing = np.array([end_id], enc.dtype).tobytes()
+        for batch in batches:
+            for k in range(0, batch.num_rows, BATCH):
+                rows = batch.slice(k, BATCH)
+                ids = [x + closing for x in enc.encode_all([t or "" for t in rows.column(1).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+
+    narrow = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    return save(narrow.mapInArrow(run, f"doc_id {id_type}, n long, ids binary"), "encoded")
+
+
+def coded_blocks(made: DataFrame, freq: np.ndarray) -> DataFrame:
+    """Documents in ascending id order as coded blocks. Only ids are moved, in as many parts as they
+    need; rows of equal or no id are ordered, and dealt out, by a hash of their ids."""
+    spark = made.sparkSession
+    id_type = made.schema["doc_id"].dataType.simpleString()
+    size = made.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    tie = made.withColumn("tie", F.xxhash64("ids"))
+    ordered = tie.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    shared = spark.sparkContext.broadcast(freq)
+
+    def run(batches):
+        coder = Coder(shared.value)
         part, block, local, held = TaskContext.get().partitionId(), 0, 0, 0
         ids: list = []
         keys: list = []
+        sizes: list = []
+        key_type = None
 
         def flush():
-            nonlocal block, local, held, ids, keys
-            sizes = [len(x) // enc.dtype.itemsize for x in ids]
-            made = pa.RecordBatch.from_arrays(
+            nonlocal block, local, held, ids, keys, sizes
+            plain = np.concatenate(ids)
+            out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([local], pa.int64()), pa.array([held], pa.int64()),
-                    pa.array([b"".join(ids)], pa.binary()), pa.array([keys], pa.list_(key_type)), pa.array([sizes], pa.list_(pa.int64())),
+                    pa.array([coder.encode(plain)], pa.binary()), pa.array([zlib.crc32(plain.astype("<u4").tobytes())], pa.int64()),
+                    pa.array([keys], pa.list_(key_type)), pa.array([sizes], pa.list_(pa.int64())),
                 ],
-                names=["part", "block", "local", "n_tokens", "ids", "doc_ids", "doc_sizes"],
+                names=["part", "block", "local", "n_tokens", "payload", "crc32", "doc_ids", "doc_sizes"],
             )
-            block, local, held, ids, keys = block + 1, local + held, 0, [], []
-            return made
+            block, local, held, ids, keys, sizes = block + 1, local + held, 0, [], [], []
+            return out
 
-        key_type = None
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for k in range(0, batch.num_rows, BATCH):
-                rows = batch.slice(k, BATCH)
-                for key, x in zip(rows.column(0).to_pylist(), enc.encode_all([t or "" for t in rows.column(1).to_pylist()])):
-                    ids.append(x + closing)
-                    keys.append(key)
-                    held += len(ids[-1]) // enc.dtype.itemsize
-                    if held >= BLOCK_IDS:
-                        yield flush()
+            for key, m, raw in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                ids.append(np.frombuffer(raw, f"<u{len(raw) // m}"))
+                keys.append(key)
+                sizes.append(m)
+                held += m
+                if held >= BLOCK_IDS:
+                    yield flush()
         if ids:
             yield flush()
 
-    schema = f"part long, block long, local long, n_tokens long, ids binary, doc_ids array<{id_type}>, doc_sizes array<long>"
-    return save(ordered.mapInArrow(run, schema), "raw-blocks")
+    schema = f"part long, block long, local long, n_tokens long, payload binary, crc32 long, doc_ids array<{id_type}>, doc_sizes array<long>"
+    return ordered.select("doc_id", "n", "ids").mapInArrow(run, schema)
 
 
-def frequencies(raw: DataFrame) -> np.ndarray:
+def frequencies(made: DataFrame) -> np.ndarray:
     """How often each id occurs; one row per id of the vocabulary reaches the driver, never more."""
 
     def run(batches):
@@ -189,7 +212,7 @@ def frequencies(raw: DataFrame) -> np.ndarray:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(counts[used])], names=["id", "n"])
 
-    rows = raw.select("ids", "n_tokens").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = made.select("ids", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     used = np.asarray(rows["id"], np.int64)
     counts = np.zeros(int(used.max()) + 1 if len(used) else 1, np.int64)
     counts[used] = np.asarray(rows["n"], np.int64)
@@ -203,30 +226,50 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str = "word_bpe_4
     documents. An empty table gives a set without blocks.
     """
     spark = docs.sparkSession
-    path = path or f"{scratch_root(spark)}/kinfold-{uuid.uuid4().hex}-rans"
-    raw = raw_blocks(docs, tokenizer, end_id, id_col, text_col)
-    freq = normalise(frequencies(raw))
+    path = path or new_path(spark, "rans")
+    made = encoded(docs, tokenizer, end_id, id_col, text_col)
+    freq = normalise(frequencies(made))
     used = np.flatnonzero(freq)
     table = pa.table({"id": pa.array(used, pa.int64()), "freq": pa.array(freq[used], pa.int64())})
     spark.createDataFrame(table).coalesce(1).write.parquet(f"{path}/freq")
+    blocks = coded_blocks(made, freq)
+    blocks.write.parquet(f"{path}/blocks")
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    raw.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", before.alias("base")).write.parquet(f"{path}/index")
-    shared = spark.sparkContext.broadcast(freq)
+    totals = spark.read.schema(blocks.schema).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    totals.select("part", before.alias("base")).write.parquet(f"{path}/index")
+    return path
+
+
+def _opened(spark: SparkSession, path: str) -> tuple:
+    """The broadcast frequencies, and the blocks with ``at``, the ids before each in the whole set."""
+    small_batches(spark)
+    table = spark.read.parquet(f"{path}/freq").toArrow()
+    used = np.asarray(table["id"], np.int64)
+    freq = np.zeros(int(used.max()) + 1 if len(used) else 1, np.int64)
+    freq[used] = np.asarray(table["freq"], np.int64)
+    blocks = spark.read.parquet(f"{path}/blocks").join(F.broadcast(spark.read.parquet(f"{path}/index")), "part")
+    return spark.sparkContext.broadcast(freq), blocks.withColumn("at", F.col("base") + F.col("local"))
+
+
+def read_range(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """``start, ids``: the ids ``first`` to ``last`` (excluded) of the whole set, a row per block.
+
+    Of the blocks that overlap the range only the stretches between checkpoints that do are decoded;
+    the checksum is one of whole blocks and is not looked at here.
+    """
+    shared, blocks = _opened(spark, path)
+    wanted = blocks.where((F.col("at") < last) & (F.col("at") + F.col("n_tokens") > first)).select("payload", "at", "n_tokens")
 
     def run(batches):
         coder = Coder(shared.value)
         for batch in batches:
-            packed, crcs = [], []
-            for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist()):
-                plain = np.frombuffer(ids, f"<u{len(ids) // n}")
-                packed.append(coder.encode(plain))
-                crcs.append(zlib.crc32(plain.astype("<u4").tobytes()))
-            at = batch.schema.get_field_index("ids")
-            yield batch.set_column(at, "payload", pa.array(packed, pa.binary())).append_column("crc32", pa.array(crcs, pa.int64()))
-
-    schema = raw.withColumnRenamed("ids", "payload").withColumn("crc32", F.lit(0).cast("long")).schema
-    raw.mapInArrow(run, schema).write.parquet(f"{path}/blocks")
-    return path
+            for payload, at, n in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                a, b = max(0, first - at), min(n, last - at)
+                step = int(np.frombuffer(payload, "<u4", 1)[0]) * STRIDE
+                ids = coder.decode(payload, a // step, -(-b // step))[a % step : a % step + b - a]
+                yield pa.RecordBatch.from_arrays([pa.array([at + a], pa.int64()), pa.array([ids.astype("<u4").tobytes()], pa.binary())], names=["start", "ids"])
+
+    return wanted.mapInArrow(run, "start long, ids binary")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -235,13 +278,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Blocks decode independently; a block whose checksum does not match raises. The broadcast
     tables are bounded: the frequencies by the vocabulary, the index by the number of parts.
     """
-    small_batches(spark)
-    table = spark.read.parquet(f"{path}/freq").toArrow()
-    used = np.asarray(table["id"], np.int64)
-    freq = np.zeros(int(used.max()) + 1 if len(used) else 1, np.int64)
-    freq[used] = np.asarray(table["freq"], np.int64)
-    shared = spark.sparkContext.broadcast(freq)
-    blocks = spark.read.parquet(f"{path}/blocks").join(F.broadcast(spark.read.parquet(f"{path}/index")), "part")
+    shared, blocks = _opened(spark, path)
     id_type = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches):
@@ -260,5 +297,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    narrow = blocks.select("payload", "crc32", (F.col("base") + F.col("local")).alias("at"), "doc_ids", "doc_sizes")
+    narrow = blocks.select("payload", "crc32", "at", "doc_ids", "doc_sizes")
     return narrow.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long, ids binary")
