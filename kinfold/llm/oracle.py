@@ -28,7 +28,8 @@ ruled as (select *, case when n = 0 then ''
   when ((length(line) - length(replace(line, '!!', ''))) / 2 * 4 >= n and (length(line) - length(replace(line, '!!', ''))) / 2 >= 2)
     or ({_left('line', '[^#*$%&<>]+')} * 2 >= n and {_left('line', '[^#*$%&<>]+')} >= 4)
     or (n >= 40 and {_left('line', '[^.!?:;,]+')} = 0) then 'punctuation'
-  when ({_left('line', '[^|»·]+')} >= 3 and {_left('line', '[^|»·]+')} * 5 >= n) or (n <= 3 and regexp_matches(trim(lower(line)), '^{MENU}$')) then 'navigation'
+  when ({_left('line', '[^|»·]+')} >= 3 and {_left('line', '[^|»·]+')} * 5 >= n)
+    or ((length(line) - length(replace(line, '://', ''))) / 3 >= 2 and (length(line) - length(replace(line, '://', ''))) / 3 * 2 >= n) or (n <= 3 and regexp_matches(trim(lower(line)), '^{MENU}$')) then 'navigation'
   when n <= {FURNITURE_WORDS} and regexp_matches(lower(line), '{FURNITURE}') then 'boilerplate' else '' end as rule from sized),
 byline as (select doc_id,
   count(*) filter (n > 0) - count(distinct line) filter (n > 0) as n_dup_lines,

@@ -11,14 +11,28 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.common import col, fresh, let, words
 
-#: Phrases of site furniture, for lines of at most ``FURNITURE_WORDS`` words.
+#: Phrases of site furniture in English, German, French and Spanish, for lines of at most
+#: ``FURNITURE_WORDS`` words; and a year of copyright in any language.
 FURNITURE = (
     "all rights reserved|cookie policy|privacy policy|terms of (use|service)|accept (all )?cookies|enable javascript"
     "|click here|subscribe (now|to our)|sign up for|share (this|on)|powered by|skip to (main )?content|lorem ipsum"
+    "|alle rechte vorbehalten|cookie-richtlinie|datenschutzerklärung|nutzungsbedingungen|cookies akzeptieren|javascript aktivieren"
+    "|hier klicken|(newsletter|jetzt) abonnieren|teilen auf|zum inhalt springen"
+    "|tous droits réservés|politique de (cookies|confidentialité)|conditions d.utilisation|accepter les cookies|activer javascript"
+    "|cliquez ici|abonnez-vous|partager sur|aller au contenu"
+    "|todos los derechos reservados|política de (cookies|privacidad)|términos (de uso|y condiciones)|aceptar (las )?cookies"
+    "|haga clic aquí|suscríbete|compartir en|saltar al contenido"
+    "|(©|[(]c[)]|copyright) ?[0-9]{4}"
 )
 FURNITURE_WORDS = 30
-#: A line that is one of these, or a row of things between separators, is navigation.
-MENU = "(home|menu|login|log in|sign in|sign up|register|contact( us)?|about( us)?|search|next|previous|back to top|site ?map)"
+#: A line that is one of these is navigation; so is, in any language, a row of things between
+#: separators, and one that is mostly addresses.
+MENU = (
+    "(home|menu|login|log in|sign in|sign up|register|contact( us)?|about( us)?|search|next|previous|back to top|site ?map"
+    "|startseite|menü|anmelden|registrieren|kontakt|über uns|suche|weiter|zurück|nach oben|impressum"
+    "|accueil|connexion|inscription|contactez-nous|à propos|recherche|suivant|précédent|haut de page|plan du site"
+    "|inicio|menú|iniciar sesión|registrarse|contacto|quiénes somos|buscar|siguiente|anterior|volver arriba|mapa del sitio)"
+)
 #: Largest share of word characters that may be lost with removed lines, in percent.
 MAX_LOST = 30
 
@@ -61,7 +75,8 @@ def _verdict(line: Column, n: Column) -> Column:
     bars = _count(line, "[^|»·]+")
     ends = _count(line, "[^.!?:;,]+")
     punctuation = (shouts * 4 >= n) & (shouts >= 2) | (marks * 2 >= n) & (marks >= 4) | (n >= 40) & (ends == 0)
-    navigation = (bars >= 3) & (bars * 5 >= n) | (n <= 3) & F.trim(low).rlike(f"^{MENU}$")
+    links = (F.length(low) - F.length(F.replace(low, F.lit("://"), F.lit("")))) / 3
+    navigation = (bars >= 3) & (bars * 5 >= n) | (links >= 2) & (links * 2 >= n) | (n <= 3) & F.trim(low).rlike(f"^{MENU}$")
     furniture = (n <= FURNITURE_WORDS) & low.rlike(FURNITURE)
     return F.when(punctuation, "punctuation").when(navigation, "navigation").when(furniture, "boilerplate").otherwise("")
 
