@@ -67,3 +67,8 @@ def blocks(*matrices: Column) -> Column:
 def contains_class(matches: Column, label: Column, n: int) -> Column:
     """Whether one of the first ``n`` matches has the class ``label``."""
     return F.exists(F.slice(matches, 1, n), lambda m: m["class"] == label)
+
+
+def to_bytes(v: Column) -> Column:
+    """Values of 0 to 1 as bytes' values: times 255, clipped, then truncated."""
+    return F.transform(as_double(v), lambda x: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), x * 255))))

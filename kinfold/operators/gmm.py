@@ -1,7 +1,8 @@
 """Diagonal-covariance Gaussian mixtures by expectation-maximisation.
 
 An iteration broadcasts the parameters, sums each task's sufficient statistics in numpy, and
-combines them per component and element; the driver sees K x D numbers.
+combines them per component and element; the driver sees K x D numbers. Vectors of ``LOCAL_BYTES``
+at most are fetched once instead and iterated over on the driver, by the same sums.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from kinfold.schema import widened
 
 #: Added to every variance; log-likelihood gain per vector below which fitting stops; most rounds.
 REG, TOL, MAX_ITER = 1e-6, 1e-3, 100
-#: Vectors the starting means are chosen from.
+#: Distinct vectors the starting means are chosen from.
 INIT_SAMPLE = 10_000
+#: Bytes of vectors up to which fitting takes place on the driver, without a job per round.
+LOCAL_BYTES = 16 << 20
 
 
 @dataclass
@@ -57,6 +60,21 @@ class GMMModel:
         return GMMModel(*(np.array(got[c].to_pylist()) for c in ("weight", "mu", "var")))
 
 
+def _sums(x: np.ndarray, model: GMMModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Sums of responsibilities, of vectors and squares under them, and of log-likelihoods."""
+    g, own = model.posterior(x)
+    return g.sum(axis=0), g.T @ x, g.T @ (x * x), float(own.sum())
+
+
+def _next(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, ll: float) -> tuple[GMMModel, float]:
+    total = n.sum()
+    if not total:
+        raise ValueError("no vectors to fit on")
+    own = np.maximum(n, 10 * np.finfo(float).eps)[:, None]
+    mean = s1 / own
+    return GMMModel(n / total, mean, np.maximum(s2 / own - mean**2, 0.0) + REG), ll / total
+
+
 def _statistics(vectors: DataFrame, model: GMMModel, vec: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     shared = vectors.sparkSession.sparkContext.broadcast(model)
     k, d = model.means.shape
@@ -67,11 +85,8 @@ def _statistics(vectors: DataFrame, model: GMMModel, vec: str) -> tuple[np.ndarr
             x = _matrix(batch.column(0))
             if not len(x):
                 continue
-            g, own = shared.value.posterior(x)
-            n += g.sum(axis=0)
-            s1 += g.T @ x
-            s2 += g.T @ (x * x)
-            ll += float(own.sum())
+            more = _sums(x, shared.value)
+            n, s1, s2, ll = n + more[0], s1 + more[1], s2 + more[2], ll + more[3]
         c, i = np.indices((k, d))
         yield pa.RecordBatch.from_arrays(
             [pa.array(c.ravel().astype(np.int32)), pa.array(i.ravel().astype(np.int32)), pa.array(np.repeat(n, d)), pa.array(s1.ravel()), pa.array(s2.ravel()), pa.array(np.full(k * d, ll))],
@@ -89,24 +104,24 @@ def _statistics(vectors: DataFrame, model: GMMModel, vec: str) -> tuple[np.ndarr
 
 def em_step(vectors: DataFrame, model: GMMModel, vec: str = "reduced") -> tuple[GMMModel, float]:
     """The next parameters, and the mean log-likelihood under the given ones."""
-    n, s1, s2, ll = _statistics(vectors, model, vec)
-    total = n.sum()
-    if not total:
-        raise ValueError("no vectors to fit on")
-    own = np.maximum(n, 10 * np.finfo(float).eps)[:, None]
-    mean = s1 / own
-    return GMMModel(n / total, mean, np.maximum(s2 / own - mean**2, 0.0) + REG), ll / total
+    return _next(*_statistics(vectors, model, vec))
 
 
 def initial(vectors: DataFrame, k: int, seed: int = 42, vec: str = "reduced") -> GMMModel:
-    """Start from k-means over a bounded sample: the vectors of least hash."""
+    """Start from k-means over a bounded sample: the distinct vectors of least hash."""
     rows = vectors.select(F.col(vec).alias("v")).where("v is not null")
     total = rows.count()
-    share = max(1, min(1 << 20, (INIT_SAMPLE << 20) // max(1, total)))
-    x = _matrix(rows.where(F.pmod(F.xxhash64(F.col("v"), F.lit(seed)), F.lit(1 << 20)) < share).limit(2 * INIT_SAMPLE).toArrow()["v"])
-    x = x[np.lexsort(x.T[::-1])]  # the same order however rows arrived
+    share = max(1, min(1 << 20, (2 * INIT_SAMPLE << 20) // max(1, total)))
+    rank = F.xxhash64(F.col("v"), F.lit(seed))
+    some = rows.where(F.pmod(rank, F.lit(1 << 20)) < share).distinct().orderBy(rank, "v").limit(INIT_SAMPLE)
+    return _start(_matrix(some.toArrow()["v"]), k, seed)
+
+
+def _start(x: np.ndarray, k: int, seed: int) -> GMMModel:
+    """k-means++ and k-means over the distinct vectors ``x``, in whatever order they are."""
+    x = x[np.lexsort(x.T[::-1])] if len(x) else x
     if len(x) < k:
-        raise ValueError(f"{len(x)} vectors for {k} components")
+        raise ValueError(f"{len(x)} different vectors for {k} components")
     rng = np.random.default_rng(seed)
     centers = [x[rng.integers(len(x))]]
     while len(centers) < k:  # k-means++: far vectors are likelier
@@ -125,13 +140,16 @@ def initial(vectors: DataFrame, k: int, seed: int = 42, vec: str = "reduced") ->
 
 
 def fit(vectors: DataFrame, k: int = 2, seed: int = 42, vec: str = "reduced", start: GMMModel | None = None, max_iter: int = MAX_ITER, tol: float = TOL) -> GMMModel:
-    """Fit until the mean log-likelihood gains less than ``tol``; the vectors are kept in memory
-    or on disk between rounds and let go at the end."""
-    rows = vectors.select(vec).persist()
+    """Fit until the mean log-likelihood gains less than ``tol``. Vectors too many for the driver are
+    kept in memory or on disk between rounds and let go at the end."""
+    rows = vectors.select(vec).where(F.col(vec).isNotNull()).persist()
     try:
+        size = rows.agg(F.count("*").alias("n"), F.max(F.size(vec)).alias("d")).first()
+        small = size["n"] * (size["d"] or 0) * 8 <= LOCAL_BYTES
         model, before = start or initial(rows, k, seed, vec), -np.inf
+        x = _matrix(rows.toArrow()[vec]) if small else None
         for _ in range(max_iter):
-            model, now = em_step(rows, model, vec)
+            model, now = _next(*_sums(x, model)) if small else em_step(rows, model, vec)
             if abs(now - before) < tol:
                 break
             before = now

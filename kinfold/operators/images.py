@@ -1,8 +1,9 @@
 """Image stages: tone mapping, background removal, local descriptors.
 
-Decoders, segmenters and extractors plug in as plain functions; each Python worker makes its own on
-first use. The built-in ones need numpy only: they read binary PNM files and serve where no image
-library or network weights are at hand.
+Decoders, tone mappers, segmenters and extractors plug in as plain functions; each Python worker
+makes its own on first use. By default these are OpenCV's tone mapping and rembg's background
+removal where they are installed. The built-in ones need numpy only: they read binary PNM files and
+serve where no image library or network weights are at hand.
 """
 
 from __future__ import annotations
@@ -55,6 +56,31 @@ def encode(image: np.ndarray) -> bytes:
     return b"P7\nWIDTH %d\nHEIGHT %d\nDEPTH %d\nMAXVAL 255\nTUPLTYPE RGB_ALPHA\nENDHDR\n" % (w, h, c) + image.tobytes()
 
 
+def to_byte(x: np.ndarray) -> np.ndarray:
+    """Values of 0 to 1 as bytes: clipped, then truncated."""
+    return np.clip(x * 255, 0, 255).astype(np.uint8)
+
+
+def tone_mapper() -> Callable[[np.ndarray], np.ndarray]:
+    """OpenCV's contrast-domain operator if it is there, else :func:`tone_map`."""
+    try:
+        import cv2
+    except ImportError:
+        return tone_map
+    operator = cv2.createTonemapMantiuk(scale=SCALE, saturation=SATURATION)
+    return lambda image: to_byte(np.nan_to_num(operator.process(image[..., :3].astype(np.float32) / 255)))
+
+
+def segmenter(model: str = "u2net") -> Callable[[np.ndarray], np.ndarray]:
+    """rembg's background removal with one session a worker if it is there, else :func:`remove_background`."""
+    try:
+        import rembg
+    except ImportError:
+        return remove_background
+    session = rembg.new_session(model)
+    return lambda image: np.asarray(rembg.remove(np.ascontiguousarray(image), session=session))
+
+
 def tone_map(image: np.ndarray, scale: float = SCALE, saturation: float = SATURATION) -> np.ndarray:
     """Contrast-domain tone mapping: log-luminance differences to the local mean shrink by level of
     a pyramid, colours keep ``saturation`` of their ratio to luminance; clipped, then truncated."""
@@ -71,7 +97,7 @@ def tone_map(image: np.ndarray, scale: float = SCALE, saturation: float = SATURA
     mapped = (x / light[..., None]) ** saturation * out[..., None]
     top = mapped.max()
     mapped = mapped / top if top > 0 else mapped
-    return np.clip(mapped * 255, 0, 255).astype(np.uint8)
+    return to_byte(mapped)
 
 
 def _box(m: np.ndarray, r: int) -> np.ndarray:
@@ -107,36 +133,47 @@ def local_descriptors(image: np.ndarray, stride: int = 8, crop: int = CROP) -> n
         return np.empty((0, WIDTH), np.float32)
     dy, dx = np.gradient(gray)
     size, turn = np.hypot(dx, dy), ((np.arctan2(dy, dx) + np.pi) / (2 * np.pi) * 8).astype(int) % 8
-    out = []
-    for y in range(0, gray.shape[0] - 15, stride):
-        for x in range(0, gray.shape[1] - 15, stride):
-            if not seen[y : y + 16, x : x + 16].mean() > 0.5:
-                continue
-            cell = (np.arange(16)[:, None] // 4) * 4 + np.arange(16)[None, :] // 4
-            hist = np.bincount((cell * 8 + turn[y : y + 16, x : x + 16]).ravel(), size[y : y + 16, x : x + 16].ravel(), WIDTH)
-            norm = np.linalg.norm(hist)
-            if norm > 1e-3:
-                out.append(np.minimum(hist / norm, 0.2))
-    return np.array(out, np.float32).reshape(-1, WIDTH)
-
-
-def preprocess(images: DataFrame, use_tone_mapping: bool = True, background: Callable[[], Callable] | None = lambda: remove_background, reader: Callable = decode, content: str = "content") -> DataFrame:
+    ys, xs = np.arange(0, gray.shape[0] - 15, stride), np.arange(0, gray.shape[1] - 15, stride)
+    # Running sums of each direction's gradients; a cell's histogram is that of its four corners.
+    planes = np.where(turn[..., None] == np.arange(8), size[..., None], 0.0)
+    total = np.zeros((gray.shape[0] + 1, gray.shape[1] + 1, 8))
+    total[1:, 1:] = planes.cumsum(axis=0).cumsum(axis=1)
+    corners = total[(ys[:, None] + 4 * np.arange(5))[:, None, :, None], (xs[:, None] + 4 * np.arange(5))[None, :, None, :]]
+    cells = corners[:, :, 1:, 1:] - corners[:, :, :-1, 1:] - corners[:, :, 1:, :-1] + corners[:, :, :-1, :-1]
+    hist = np.maximum(cells, 0.0).reshape(-1, WIDTH)
+    covered = np.zeros((gray.shape[0] + 1, gray.shape[1] + 1))
+    covered[1:, 1:] = seen.cumsum(axis=0).cumsum(axis=1)
+    at = lambda dy, dx: covered[(ys + dy)[:, None], (xs + dx)[None, :]]
+    shown = ((at(16, 16) - at(0, 16) - at(16, 0) + at(0, 0)) > 128).ravel()
+    norm = np.linalg.norm(hist, axis=1)
+    kept = shown & (norm > 1e-3)
+    return np.minimum(hist[kept] / norm[kept, None], 0.2).astype(np.float32)
+
+
+def preprocess(
+    images: DataFrame, use_tone_mapping: bool = True, background: Callable[[], Callable] | None = segmenter, reader: Callable = decode, content: str = "content",
+    tone: Callable[[], Callable] = tone_mapper, dataset_col: str | None = None, keep_background: tuple[str, ...] = (),
+) -> DataFrame:
     """``images`` with ``content`` replaced by the processed image, and ``error`` (null if none).
 
-    ``background`` makes the segmenter, once per worker; None keeps backgrounds. An image that
-    cannot be read keeps its row, with null content and the reason.
+    ``background`` makes the segmenter, once per worker; None keeps backgrounds. Images whose
+    ``dataset_col`` is one of ``keep_background`` keep theirs. An image that cannot be read keeps its
+    row, with null content and the reason.
     """
     at = images.columns.index(content)
+    of = images.columns.index(dataset_col) if dataset_col else None
 
     def run(batches):
         cut = background() if background else None
+        mapped = tone() if use_tone_mapping else None
         for batch in batches:
             made, errors = [], []
-            for raw in batch.column(at).to_pylist():
+            names = batch.column(of).to_pylist() if of is not None else [None] * batch.num_rows
+            for raw, name in zip(batch.column(at).to_pylist(), names):
                 try:
                     image = reader(raw)
-                    image = tone_map(image) if use_tone_mapping else image
-                    made.append(encode(cut(image) if cut else image))
+                    image = mapped(image) if mapped else image
+                    made.append(encode(cut(image) if cut and name not in keep_background else image))
                     errors.append(None)
                 except (ValueError, TypeError, KeyError, IndexError) as e:
                     made.append(None)

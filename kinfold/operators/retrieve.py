@@ -2,6 +2,8 @@
 
 The gallery never moves: queries are broadcast in blocks of bounded size, each gallery task keeps
 its own best ``k`` per query by a blocked matrix product, and only these are shuffled and ranked.
+With more than one block both sides are written once first, the queries by block, so that a block's
+pass reads its own queries and the stored gallery, whatever made them.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.shared import staged
+
 #: Bytes of query vectors broadcast at a time.
 BLOCK_BYTES = 64 << 20
 #: Similarities are ranked at this many decimals, so that equal vectors tie in any partitioning.
@@ -35,21 +39,11 @@ def unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m[ok] / norm[ok, None] if m.size else m[ok], ok
 
 
-def _query_blocks(queries: DataFrame, block_bytes: int):
-    """Queries with a direction, as (ids, unit matrix) of at most ``block_bytes`` each.
-
-    The queries' count and width are measured first; a set beyond one block is cut by a hash of the
-    id into as many parts, so the driver holds one block and never the set.
-    """
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
-    if not size["n"]:
-        return
-    parts = max(1, -(-size["n"] * (size["d"] or 1) * 8 // block_bytes))
-    for p in range(parts):
-        rows = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
-        table = rows.toArrow()
-        unit, ok = unit_rows(_matrix(table["vec"]))
-        yield table["query_id"].filter(pa.array(ok)).to_pylist(), unit
+def _block(rows: DataFrame):
+    """Queries with a direction, as (ids, unit matrix)."""
+    table = rows.toArrow()
+    unit, ok = unit_rows(_matrix(table["vec"]))
+    return table["query_id"].filter(pa.array(ok)).to_pylist(), unit
 
 
 def top_k(
@@ -65,13 +59,18 @@ def top_k(
     g = gallery.select(F.col(gallery_id).alias("gallery_id"), F.col(gallery_vec).alias("vec")).where("vec is not null")
     q_type, g_type = q.schema["query_id"].dataType.simpleString(), g.schema["gallery_id"].dataType.simpleString()
     schema = f"query_id {q_type}, gallery_id {g_type}, similarity double"
-    found = None
-    for ids, unit in _query_blocks(q, block_bytes):
-        shared = spark.sparkContext.broadcast((ids, unit))
+    size = q.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+    parts = -(-size["n"] * max(1, size["d"] or 1) * 8 // block_bytes)
+    blocks = [q] if parts == 1 else []
+    if parts > 1:  # by a hash of the id, so the driver holds one block and never the set
+        q = staged(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")), "queries", "block")
+        g = staged(g, "gallery")
+        blocks = [q.where(F.col("block") == p).select("query_id", "vec") for p in range(parts)]
+    found = spark.createDataFrame([], schema)
+    for n, rows in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(_block(rows))
         part = g.mapInArrow(_scorer(shared, k), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+        found = found.unionByName(part) if n else part
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("gallery_id"))
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 

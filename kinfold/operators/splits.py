@@ -18,12 +18,24 @@ def closed_set_split(catalog: DataFrame, train_share: float = 0.8, seed: int = 4
 
     Within an identity of n items the first ``clamp(round(share * n), 1, n - 1)`` in an order set by
     a seeded hash of the id train; a single item trains. The order depends on ids alone, so it does
-    not change with partitioning.
+    not change with partitioning. An identity's items are numbered within 256 ranges of the hash,
+    behind the counts of the ranges before, so no task orders all items of a large identity.
     """
-    order = Window.partitionBy(identity_col).orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"#{seed}"))), F.col(id_col))
-    size = F.count("*").over(Window.partitionBy(identity_col))
-    quota = F.greatest(F.lit(1), F.least(size - 1, F.floor(size * F.lit(train_share) + 0.5)))
-    return catalog.select("*", F.when(F.row_number().over(order) <= quota, "train").otherwise("test").alias("split"))
+    taken = {c.lower() for c in catalog.columns}
+    part, before, size, digest = (f"split_{c}" for c in ("part", "before", "size", "digest"))
+    if taken & {part, before, size, digest}:
+        raise ValueError("columns named split_* are used inside")
+    rows = catalog.withColumn(digest, F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"#{seed}")))).withColumn(part, F.coalesce(F.substring(digest, 1, 2), F.lit("")))
+    own = Window.partitionBy("identity")
+    counts = rows.groupBy(F.col(identity_col).alias("identity"), F.col(part).alias("range")).agg(F.count("*").alias("n"))
+    counts = counts.select(
+        "identity", "range", F.sum("n").over(own).alias(size), F.coalesce(F.sum("n").over(own.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before)
+    )
+    counts = counts.select(F.col("identity").alias("split_identity"), F.col("range").alias("split_range"), size, before)
+    joined = rows.join(counts, rows[identity_col].eqNullSafe(counts["split_identity"]) & (rows[part] == counts["split_range"]))
+    at = F.col(before) + F.row_number().over(Window.partitionBy(identity_col, part).orderBy(digest, id_col))
+    quota = F.greatest(F.lit(1), F.least(F.col(size) - 1, F.floor(F.col(size) * F.lit(train_share) + 0.5)))
+    return joined.select(*(rows[c] for c in catalog.columns), F.when(at <= quota, "train").otherwise("test").alias("split"))
 
 
 def analyze_split(split: DataFrame, identity_col: str = "identity") -> DataFrame:

@@ -41,6 +41,12 @@ steps as (select *, sum(ratio) over (order by pc rows unbounded preceding) as cu
 _MODEL = "p0 as (select (vec_id - (select min(vec_id) from x))::integer as k, i, 0.5::double as w, x as mu, 0.02::double as var from x where vec_id < (select min(vec_id) from x) + 2)"
 
 
+_AXES = """axes as (select row_number() over (order by v desc)::bigint as pc, v / sum(v) over () as ratio
+  from (select count(*) * pow(vec_id % 8 + 1, 4) as v from embeddings group by vec_id % 8))"""
+_CELLS = f"""{_X}, span as (select vec_id, min(x) as lo, max(x) as hi from x group by vec_id),
+cells as (select vec_id, i // 8 as r, i % 8 as c, floor((x - lo) / greatest(1e-9::double, hi - lo) * 255) as v from x join span using (vec_id))"""
+
+
 def _e_step(p: str, g: str) -> str:
     return f"""{g}_l as (select vec_id, k, ln(max(w)) - 0.5 * sum(ln(2 * pi() * var) + (x - mu) * (x - mu) / var) as l from x join {p} using (i) group by vec_id, k),
 {g}_m as (select vec_id, k, exp(l - max(l) over (partition by vec_id)) as a from {g}_l),
@@ -97,7 +103,7 @@ def oracle_sql() -> dict[str, str]:
         "l2_normalize": _elements(one, "list_transform(e, lambda x: x / n)"),
         "dot_products": f"with {_PAIR} select vec_id, {_r('list_dot_product(e, o)')} as dot from p",
         "elementwise": _elements(two, "list_transform(list_zip(e, o), lambda z: (z[1] - z[2]) * (z[1] - z[2]) / pow(z[2] * z[2] + 1, 1.5))"),
-        "flatten_blocks": _elements(two, "(e || o || o || e)[60:199]"),
+        "flatten_blocks": _elements(two, "e || o || o || e"),
         "rescale_clip": f"with {_X} select vec_id, i, floor(greatest(0.0::double, least(255.0::double, x * 255)))::bigint as value from x",
         "slices": f"""with {_VEC} select vec_id, len(e)::integer as d, {_r('e[1] + e[2] + e[3] + e[4] + e[5]')} as head, {_r('e[1]')} as first, {_r('e[-1]')} as last from v""",
         "stream_open_set": f"with {_TOP} select query_id as image_id, {_r('similarity')} as similarity, case when similarity >= 0.4 then label else 'Unknown class.' end as decision from top where rank = 1",
@@ -137,5 +143,21 @@ def oracle_sql() -> dict[str, str]:
         "fisher_vectors": f"""with {_GRAD}, f as (select image_id, pos, sign(value) * sqrt(abs(value)) as f from grad)
             select image_id, pos, {_r('f / sqrt(sum(f * f) over (partition by image_id))')} as value from f""",
         "bag_sizes": f"with {_BAGS} select image_id, count(*) as n from bag group by image_id",
-        "skipped_bags": f"with {_BAGS}, items as (select distinct label || '_' || n as image_id from embeddings, range(12) r(n)) select image_id from items anti join bag using (image_id)",
+        "skipped_bags": f"""with {_BAGS}, items as (select label || '_' || unnest(range(n)) as image_id from (select label, (count(*) + 3) // 4 + 5 as n from embeddings group by label))
+            select image_id from items anti join bag using (image_id)""",
+        "explained_variance_cumsum": f"with {_AXES} select pc, {_r('ratio')} as ratio, {_r('sum(ratio) over (order by pc)')} as cumulative from axes",
+        "optimal_components": f"""with {_AXES}, steps as (select pc, sum(ratio) over (order by pc) as c from axes),
+            t as (select unnest([0.5, 0.95, 0.99, 1.5])::double as threshold)
+            select threshold, ((select count(*) from steps where c < threshold - 1e-12) + 1)::integer as n_components from t""",
+        "gmm_fit": f"""with {_X}, m as (select i, (vec_id % 2)::integer as k, x + vec_id % 2 * 100 as x from x),
+            n as (select k, count(*) / sum(count(*)) over () as w from m where i = 0 group by k)
+            select k, i, {_r('max(w)')} as weight, {_r('avg(x)')} as mu, {_r('var_pop(x) + 1e-6')} as var from m join n using (k) group by k, i""",
+        "image_preprocess": f"""with {_CELLS}, border as (select vec_id, v from cells, (values (1), (2)) t(side) where (side = 1 and r in (0, 7)) or (side = 2 and c in (0, 7))),
+            mid as (select vec_id, median(v) as m from border group by vec_id)
+            select vec_id::varchar as image_id, (64 * count(*) filter (sqrt(3 * (v - m) * (v - m)) > 40))::bigint as n_left, (64 * sum(v))::bigint as total
+            from cells join mid using (vec_id) group by vec_id""",
+        "image_descriptors": "select vec_id::varchar as image_id, unnest(range(49))::integer as desc_idx, 128 as d from embeddings",
+        "train_eval_pipeline": f"""with {_BAGS}, b as (select distinct image_id, split_part(image_id, '_', 1) as label from bag), sized as (select count(*) as n from b group by label)
+            select 1.0::double as accuracy, 1.0::double as top_n_accuracy, sum(n - greatest(1, least(n - 1, floor(n * 0.8::double + 0.5))))::bigint as n from sized""",
+        "predict_pipeline": f"with {_BAGS} select distinct image_id, 1.0::double as similarity, split_part(image_id, '_', 1) as decision from bag",
     }

@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinfold.operators import evaluate, fisher, gmm, pca, retrieve, splits
+from kinfold.shared import staged
 from kinfold.sources import tables
 
 
@@ -35,11 +37,16 @@ class Trained:
     skipped: DataFrame
 
 
-def fit_models(descriptors: DataFrame, settings: Settings) -> tuple[pca.PCAModel, gmm.GMMModel]:
-    """Fit the projection, then the mixture on the projected descriptors."""
-    projection = pca.fit(descriptors, settings.n_components)
-    mixture = gmm.fit(pca.transform(descriptors, projection), settings.n_mixtures, settings.seed, max_iter=settings.gmm_iterations)
-    return projection, mixture
+def fit_models(descriptors: DataFrame, settings: Settings) -> tuple[pca.PCAModel, gmm.GMMModel, DataFrame]:
+    """The projection, the mixture fitted on the projected descriptors, and these, written once.
+
+    Rows whose ``split`` is not ``test`` are fitted on; all are projected.
+    """
+    fitted = descriptors.where("split <> 'test'") if "split" in descriptors.columns else descriptors
+    projection = pca.fit(fitted, settings.n_components)
+    reduced = staged(pca.transform(descriptors, projection), "reduced")
+    own = reduced.where("split <> 'test'") if "split" in reduced.columns else reduced
+    return projection, gmm.fit(own, settings.n_mixtures, settings.seed, max_iter=settings.gmm_iterations), reduced
 
 
 def encode(descriptors: DataFrame, projection: pca.PCAModel, mixture: gmm.GMMModel) -> DataFrame:
@@ -47,32 +54,38 @@ def encode(descriptors: DataFrame, projection: pca.PCAModel, mixture: gmm.GMMMod
 
 
 def train(catalog: DataFrame, descriptors: DataFrame, settings: Settings | None = None) -> Trained:
-    """Split, fit on the training part, classify the test part, and evaluate."""
+    """Split, fit on the training part, classify the test part, and evaluate.
+
+    A catalog that has a column ``split`` (``train`` or ``test``) is taken as it is split. Projected
+    descriptors and Fisher vectors are made once, for both parts, and written to the shared folder.
+    """
     settings = settings or Settings()
-    split = splits.closed_set_split(catalog, settings.train_share, settings.seed)
+    split = catalog if "split" in catalog.columns else splits.closed_set_split(catalog, settings.train_share, settings.seed)
+    split = staged(split.select("image_id", "identity", "split"), "split")
+    part = split.groupBy("image_id").agg(F.max("split").alias("split"))
+    projection, mixture, reduced = fit_models(descriptors.drop("split").join(part, "image_id"), settings)
+    encoded = staged(fisher.fisher_vectors(reduced, mixture), "encoded").join(part, "image_id")
     train_items, test_items = split.where("split = 'train'"), split.where("split = 'test'")
-    own = lambda items: descriptors.join(items.select("image_id"), "image_id", "left_semi")
-    projection, mixture = fit_models(own(train_items), settings)
-    gallery = retrieve.with_labels(encode(own(train_items), projection, mixture), train_items.select("image_id", "identity"))
-    queries = encode(own(test_items), projection, mixture)
-    predictions = retrieve.classify(queries, gallery, gallery, settings.top_n)
+    gallery = retrieve.with_labels(encoded.where("split = 'train'").drop("split"), train_items.select("image_id", "identity"))
+    predictions = staged(retrieve.classify(encoded.where("split = 'test'").drop("split"), gallery, gallery, settings.top_n), "predictions")
     judged = evaluate.with_truth(predictions, test_items)
     report = evaluate.per_class_report(judged)
     return Trained(
-        projection, mixture, gallery, predictions, report, evaluate.report_averages(report), evaluate.summary(judged, settings.top_n), fisher.skipped(catalog, descriptors)
+        projection, mixture, gallery, predictions, report, evaluate.report_averages(report), evaluate.summary(judged, settings.top_n), fisher.skipped(catalog, encoded)
     )
 
 
 def build_index(spark: SparkSession, catalog: DataFrame, descriptors: DataFrame, root: str, settings: Settings | None = None) -> None:
     """Fit on the full catalog's descriptors and store models and gallery under ``root``."""
     settings = settings or Settings()
-    own = descriptors.join(catalog.select("image_id"), "image_id", "left_semi")
-    projection, mixture = fit_models(own, settings)
-    tables.save_models(spark, root, projection, mixture, retrieve.with_labels(encode(own, projection, mixture), catalog.select("image_id", "identity")))
+    own = descriptors.drop("split").join(catalog.select("image_id"), "image_id", "left_semi")
+    projection, mixture, reduced = fit_models(own, settings)
+    encoded = staged(fisher.fisher_vectors(reduced, mixture), "encoded")
+    tables.save_models(spark, root, projection, mixture, retrieve.with_labels(encoded, catalog.select("image_id", "identity")))
 
 
 def predict(spark: SparkSession, root: str, descriptors: DataFrame, threshold: float = 0.4) -> DataFrame:
     """``image_id, similarity, decision`` of new items against a stored index."""
     projection, mixture, gallery = tables.load_models(spark, root)
-    queries = encode(descriptors, projection, mixture)
+    queries = staged(encode(descriptors, projection, mixture), "queries")
     return retrieve.open_set(retrieve.classify(queries, gallery, gallery, 1), threshold)

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinfold import shared
 from kinfold.functions import paths, vectors
 from kinfold.operators import evaluate, fisher, gmm, images, pca, retrieve, splits
 from kinfold.plans import pipeline
@@ -129,17 +130,7 @@ def metadata_csv(spark, sf_dir):
 
 
 def _shared(spark: SparkSession, tag: str) -> str:
-    """A fresh place all executors share; the session's checkpoint folder, or a local one in tests."""
-    import re
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="kinfold-")
-    return f"{root}/{tag}-{uuid.uuid4().hex}"
+    return shared.new_path(spark, tag)
 
 
 # Splits and labels
@@ -219,13 +210,12 @@ def flatten_blocks(spark, sf_dir):
     p = _pairs(spark, sf_dir)
     first, second = F.array("embedding", "other"), F.array("other", "embedding")
     whole = vectors.blocks(first, second)
-    return p.select("vec_id", F.posexplode(F.slice(whole, 60, 140)).alias("i", "v")).select("vec_id", "i", _r(F.col("v").cast("double")).alias("value"))
+    return p.select("vec_id", F.posexplode(whole).alias("i", "v")).select("vec_id", "i", _r(F.col("v").cast("double")).alias("value"))
 
 
 def rescale_clip(spark, sf_dir):
     """Values times 255, clipped to a byte's range, then truncated."""
-    v = F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), x.cast("double") * 255))))
-    return embeddings(spark, sf_dir).select("vec_id", F.posexplode(v).alias("i", "value"))
+    return embeddings(spark, sf_dir).select("vec_id", F.posexplode(vectors.to_bytes(F.col("embedding"))).alias("i", "value"))
 
 
 def slices(spark, sf_dir):
@@ -366,14 +356,23 @@ def pca_invariants(spark, sf_dir):
     return _rounded(spark.createDataFrame(table), "trace", "frobenius")
 
 
+def _axes(spark, sf_dir) -> DataFrame:
+    """Vectors whose covariance has known eigenvalues: each id gives one of eight axes, both ways, and
+    as far as its number's square; then all are mirrored, which turns the axes out of the elements'."""
+    rows = embeddings(spark, sf_dir).select(F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("s"), (F.col("vec_id") % 8).cast("int").alias("j"))
+    far = F.col("s") * (F.col("j") + 1) * (F.col("j") + 1)
+    # I - 2 w w' with w of eight equal elements: each element less a quarter of the axis's.
+    return rows.select(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: far * ((i == F.col("j")).cast("double") - 0.25)).alias("desc"))
+
+
 def explained_variance_cumsum(spark, sf_dir):
-    model = pca.fit(embeddings(spark, sf_dir), 8, "embedding")
+    model = pca.fit(_axes(spark, sf_dir), 8)
     return _rounded(evaluate.cumulative(pca.explained_variance(spark, model)), "ratio", "cumulative")
 
 
 def optimal_components(spark, sf_dir):
-    model = pca.fit(embeddings(spark, sf_dir), 8, "embedding")
-    return spark.createDataFrame([(t, pca.optimal_components(model, t)) for t in (0.5, 0.95, 0.99)], "threshold double, n_components int")
+    model = pca.fit(_axes(spark, sf_dir), 8)
+    return spark.createDataFrame([(t, pca.optimal_components(model, t)) for t in (0.5, 0.95, 0.99, 1.5)], "threshold double, n_components int")
 
 
 # Mixture and Fisher vectors
@@ -399,7 +398,11 @@ def gmm_em_3(spark, sf_dir):
 
 
 def gmm_fit(spark, sf_dir):
-    return _model_rows(spark, gmm.fit(_projected(spark, sf_dir)[0], K))
+    """From start to end on two groups far apart: even ids, and odd ids moved by 100 in every element."""
+    rows = embeddings(spark, sf_dir).select(F.transform("embedding", lambda x: x.cast("double") + F.col("vec_id") % 2 * 100).alias("reduced"))
+    made = gmm.fit(rows, K)
+    order = np.argsort(made.means[:, 0])
+    return _model_rows(spark, gmm.GMMModel(made.weights[order], made.means[order], made.variances[order]))
 
 
 def _grad_rows(df: DataFrame, vec: str) -> DataFrame:
@@ -419,9 +422,10 @@ def bag_sizes(spark, sf_dir):
 
 
 def skipped_bags(spark, sf_dir):
-    """Catalog items (all labels' bags up to number 11) that have no descriptor."""
-    labels = embeddings(spark, sf_dir).select("label").distinct()
-    items = labels.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda n: F.concat(F.col("label").cast("string"), F.lit("_"), n.cast("string")))).alias("image_id"))
+    """Catalog items that have no descriptor: the catalog has all bags of each label and five more."""
+    sizes = embeddings(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+    numbers = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") + 3) / 4) + 4)
+    items = sizes.select(F.explode(F.transform(numbers, lambda n: F.concat(F.col("label").cast("string"), F.lit("_"), n.cast("string")))).alias("image_id"))
     return fisher.skipped(items, fisher.fisher_vectors(bags(spark, sf_dir), first_model(spark, sf_dir), vec="desc"))
 
 
@@ -445,27 +449,41 @@ def _images(spark, sf_dir):
 
 
 def image_preprocess(spark, sf_dir):
-    done = images.preprocess(_images(spark, sf_dir))
-    return done.select("image_id", F.octet_length("content").cast("long").alias("n_bytes"), F.col("error").isNull().alias("ok"))
+    """Backgrounds cut by the border's colour: pixels left, and the sum of all pixels' values."""
+    done = images.preprocess(_images(spark, sf_dir), use_tone_mapping=False, background=lambda: images.remove_background)
+
+    def look(batches):
+        for batch in batches:
+            m = [images.decode(c) for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int((x[..., 3] > 0).sum()) for x in m]), pa.array([int(x[..., 0].sum()) for x in m])], names=["image_id", "n_left", "total"])
+
+    return done.where("error is null").select("image_id", "content").mapInArrow(look, "image_id string, n_left long, total long")
 
 
 def image_descriptors(spark, sf_dir):
-    found = images.extract(images.preprocess(_images(spark, sf_dir), background=None))
+    """All 16 x 16 patches, eight pixels apart, of tone-mapped images that keep their background."""
+    found = images.extract(images.preprocess(_images(spark, sf_dir), background=None, tone=lambda: images.tone_map))
     return found.select("image_id", "desc_idx", F.size("desc").alias("d"))
 
 
-SETTINGS = pipeline.Settings(n_components=8, gmm_iterations=20)
+SETTINGS = pipeline.Settings(n_components=9)
+
+
+def _separable(spark, sf_dir) -> DataFrame:
+    """The bags with each label's vectors moved its own way, so that only one class is near."""
+    moved = F.transform("desc", lambda x, i: x.cast("double") * 0.1 + F.when(i % 10 == F.col("identity").cast("int"), 1.0).otherwise(0.0))
+    return bags(spark, sf_dir).withColumn("desc", moved)
 
 
 def train_eval_pipeline(spark, sf_dir):
-    b = bags(spark, sf_dir)
+    b = shared.staged(_separable(spark, sf_dir), "bags")
     items = b.select("image_id", "identity").distinct()
     return _rounded(pipeline.train(items, b.select("image_id", "desc_idx", "desc"), SETTINGS).summary, "accuracy", "top_n_accuracy")
 
 
 def predict_pipeline(spark, sf_dir):
     """An index of the bags, stored and loaded again, and the same bags matched against it."""
-    b = bags(spark, sf_dir)
+    b = shared.staged(_separable(spark, sf_dir), "bags")
     root = _shared(spark, "index")
     pipeline.build_index(spark, b.select("image_id", "identity").distinct(), b.select("image_id", "desc_idx", "desc"), root, SETTINGS)
     return _rounded(pipeline.predict(spark, root, b.select("image_id", "desc_idx", "desc")), "similarity")

@@ -43,6 +43,20 @@ def _parquet(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/catalog.parquet")
 
 
+@register("images")
+def _images(spark: SparkSession, root: str) -> DataFrame:
+    """A folder of images in a folder per identity."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
+    return files.select(name.alias("image_id"), F.element_at(F.split("path", "/"), -2).alias("identity"), "path")
+
+
+def with_split(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Two ready-made parts as one catalog with a column ``split``."""
+    mark = lambda df, name: with_string_ids(df).withColumn("split", F.lit(name))
+    return mark(train, "train").unionByName(mark(test, "test"), allowMissingColumns=True)
+
+
 def with_string_ids(catalog: DataFrame, id_col: str = "image_id") -> DataFrame:
     return catalog.withColumn(id_col, F.col(id_col).cast("string"))
 
@@ -68,6 +82,51 @@ def read_images(spark: SparkSession, location: str, pattern: str = "*", id_from_
     return files.select(key.alias("image_id"), "path", "content")
 
 
+def write_images(images: DataFrame, root: str, suffix: str = ".pnm", id_col: str = "image_id", identity_col: str | None = "identity", content: str = "content") -> DataFrame:
+    """Each image as a file ``<root>/<identity>/<image_id><suffix>``; ``image_id, processed_path`` (the folder).
+
+    ``root`` is a URI or path all executors can write to. A file is replaced as a whole, so a task
+    run again does no harm. Rows without content write nothing.
+    """
+    import pyarrow as pa
+
+    folder = F.col(identity_col).cast("string") if identity_col else F.lit("")
+    rows = images.where(F.col(content).isNotNull()).select(F.col(id_col).cast("string").alias("image_id"), F.coalesce(folder, F.lit("")).alias("folder"), F.col(content).alias("content"))
+
+    def run(batches):
+        from pyarrow import fs
+
+        place, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        made = set()
+        for batch in batches:
+            folders = []
+            for key, own, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                path = f"{base.rstrip('/')}/{own}".rstrip("/")
+                if path not in made:
+                    place.create_dir(path, recursive=True)
+                    made.add(path)
+                with place.open_output_stream(f"{path}/{key}{suffix}") as out:
+                    out.write(raw)
+                folders.append(f"{root.rstrip('/')}/{own}".rstrip("/"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folders, pa.string())], names=["image_id", "processed_path"])
+
+    return rows.mapInArrow(run, "image_id string, processed_path string")
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One file of raw bytes, replaced if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
 def read_descriptors(spark: SparkSession, path: str) -> DataFrame:
     """A descriptor table written by :func:`write_table`."""
     return spark.read.schema(schema.DESCRIPTORS).parquet(path)

@@ -11,6 +11,8 @@ from kinfold.operators.retrieve import DECIMALS, UNKNOWN, _matrix, unit_rows
 
 #: Bytes of gallery vectors that may be held by every worker.
 GALLERY_BYTES = 256 << 20
+#: Rows of a batch multiplied with the gallery at a time.
+ROWS = 256
 
 
 def score_stream(stream: DataFrame, gallery: DataFrame, threshold: float = 0.4, id_col: str = "image_id", vec: str = "fv", identity_col: str = "identity") -> DataFrame:
@@ -30,19 +32,18 @@ def score_stream(stream: DataFrame, gallery: DataFrame, threshold: float = 0.4,
     def run(batches):
         unit, names = shared.value
         for batch in batches:
-            out_sim, out_cls = [], []
-            for row in range(batch.num_rows):
-                v = batch.column(1)[row].as_py()
-                q, fine = unit_rows(np.array([v or [0.0]], np.float64))
-                if not fine.any() or not len(unit):
-                    out_sim.append(None)
-                    out_cls.append(UNKNOWN)
-                    continue
-                s = np.round(unit @ q[0], DECIMALS)
-                best = len(s) - 1 - int(np.argmax(s[::-1]))  # of equals, the greatest id
-                out_sim.append(float(s[best]))
-                out_cls.append(names[best] if s[best] >= threshold else UNKNOWN)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out_sim, pa.float64()), pa.array(out_cls, pa.string())], names=["image_id", "similarity", "decision"])
+            column = batch.column(1)
+            ok = column.is_valid().to_numpy(zero_copy_only=False)
+            sims, classes = np.full(len(ok), np.nan), np.full(len(ok), UNKNOWN, dtype=object)
+            if ok.any() and len(unit):
+                q, fine = unit_rows(_matrix(column.drop_null()))
+                at = np.flatnonzero(ok)[fine]
+                for k in range(0, len(at), ROWS):
+                    s = np.round(q[k : k + ROWS] @ unit.T, DECIMALS)
+                    best = s.shape[1] - 1 - np.argmax(s[:, ::-1], axis=1)  # of equals, the greatest id
+                    sims[at[k : k + ROWS]] = top = s[np.arange(len(s)), best]
+                    classes[at[k : k + ROWS]] = np.where(top >= threshold, names[best], UNKNOWN)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sims, pa.float64(), mask=np.isnan(sims)), pa.array(classes.tolist(), pa.string())], names=["image_id", "similarity", "decision"])
 
     return stream.select(F.col(id_col).alias("image_id"), F.col(vec).alias("v")).mapInArrow(run, f"image_id {kind}, similarity double, decision string")
 
