@@ -199,3 +199,35 @@ def test_pipeline_on_separable_bags(spark, tmp_path):
     pipeline.build_index(spark, catalog, descriptors, root, settings_)
     got = {r["image_id"]: r["decision"] for r in pipeline.predict(spark, root, descriptors).collect()}
     assert got == dict(items)
+
+
+def test_fitting_on_the_driver_and_by_jobs_agree(spark, monkeypatch):
+    x = np.concatenate([RNG.normal(-2, 1, (90, 3)), RNG.normal(2, 0.5, (60, 3))])
+    df = table(spark, x).repartition(5)
+    near = gmm.fit(df, 2, vec="v", max_iter=5, tol=-1.0)
+    monkeypatch.setattr(gmm, "LOCAL_BYTES", 0)
+    far = gmm.fit(df, 2, vec="v", max_iter=5, tol=-1.0)
+    assert all(np.allclose(getattr(near, f), getattr(far, f)) for f in ("weights", "means", "variances"))
+
+
+def test_mixtures_start_from_distinct_vectors(spark):
+    x = np.concatenate([np.zeros((300, 2)), np.arange(20.0).reshape(10, 2)])
+    once, again = (gmm.initial(table(spark, x).repartition(n), 3, vec="v") for n in (1, 7))
+    assert np.allclose(once.means, again.means) and len(np.unique(once.means, axis=0)) == 3
+    with pytest.raises(ValueError):
+        gmm.initial(table(spark, np.zeros((9, 2))), 2, vec="v")
+
+
+def test_train_reads_stored_sides_and_takes_a_given_split(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    items = [(f"{c}_{b}", f"c{c}", "train" if b < 4 else "test") for c in range(3) for b in range(6)]
+    away = rng.normal(size=(3, 6)) * 4
+    rows = [(i, d, (away[int(i[0])] + rng.normal(size=6) * 0.2).tolist()) for i, _, _ in items for d in range(8)]
+    catalog = spark.createDataFrame(items, "image_id string, identity string, split string")
+    descriptors = spark.createDataFrame(rows, "image_id string, desc_idx int, desc array<double>")
+    done = pipeline.train(catalog, descriptors, pipeline.Settings(n_components=4))
+    row = done.summary.first()
+    assert row["accuracy"] == 1.0 and row["n"] == 6
+    assert sorted(r["image_id"] for r in done.predictions.collect()) == sorted(i for i, _, s in items if s == "test")
+    text = done.predictions._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in text and "Join" not in text

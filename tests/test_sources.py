@@ -75,7 +75,79 @@ def test_stream_scoring_matches_batch(spark, tmp_path):
     assert got == {"p": "x", "q": "Unknown class.", "r": "Unknown class."}
 
 
+def test_image_and_byte_sinks(spark, tmp_path):
+    content = images.encode(np.full((4, 4, 3), 7, np.uint8))
+    rows = spark.createDataFrame([("a", "x", bytearray(content)), ("b", "y", bytearray(content)), ("c", "y", None)], "image_id string, identity string, content binary")
+    made = {r["image_id"]: r["processed_path"] for r in tables.write_images(rows, f"file://{tmp_path}/out").collect()}
+    assert made == {"a": f"file://{tmp_path}/out/x", "b": f"file://{tmp_path}/out/y"}
+    assert (tmp_path / "out/x/a.pnm").read_bytes() == content and not (tmp_path / "out/y/c.pnm").exists()
+    catalog = tables.load_dataset(spark, "images", f"file://{tmp_path}/out")
+    assert sorted((r["image_id"], r["identity"]) for r in catalog.collect()) == [("a", "x"), ("b", "y")]
+    for data in (b"\x00\xffabc", b"other"):
+        tables.write_bytes(spark, f"file://{tmp_path}/raw.bin", data)
+        assert tables.read_bytes(spark, f"file://{tmp_path}/raw.bin") == data
+
+
+def test_backgrounds_stay_where_a_dataset_keeps_them(spark):
+    image = np.zeros((16, 16, 3), np.uint8)
+    image[4:12, 4:12] = 200
+    rows = spark.createDataFrame([("a", "one", bytearray(images.encode(image))), ("b", "two", bytearray(images.encode(image)))], "image_id string, dataset string, content binary")
+    done = images.preprocess(rows, dataset_col="dataset", keep_background=("two",), background=lambda: images.remove_background)
+    assert {r["image_id"]: images.decode(r["content"]).shape[2] for r in done.collect()} == {"a": 4, "b": 3}
+
+
+def test_descriptors_match_a_loop_over_patches():
+    rng = np.random.default_rng(2)
+    image = rng.integers(0, 255, (50, 70, 4)).astype(np.uint8)
+    image[:20, :30, 3] = 0
+    gray = image[..., :3].astype(np.float32).mean(axis=2)
+    dy, dx = np.gradient(gray)
+    size, turn = np.hypot(dx, dy), ((np.arctan2(dy, dx) + np.pi) / (2 * np.pi) * 8).astype(int) % 8
+    want = []
+    for y in range(0, 35, 6):
+        for x in range(0, 55, 6):
+            if (image[y : y + 16, x : x + 16, 3] > 0).mean() > 0.5:
+                hist = np.zeros((4, 4, 8))
+                for a in range(16):
+                    for b in range(16):
+                        hist[a // 4, b // 4, turn[y + a, x + b]] += size[y + a, x + b]
+                want.append(np.minimum(hist.ravel() / np.linalg.norm(hist), 0.2))
+    assert np.allclose(images.local_descriptors(image, stride=6), want, atol=1e-4)
+
+
+def test_cli_from_images_to_predictions(spark, tmp_path, capsys, monkeypatch):
+    rng = np.random.default_rng(4)
+    for k, kind in enumerate(("fine", "coarse")):
+        (tmp_path / "photos" / kind).mkdir(parents=True)
+        for n in range(5):
+            m = rng.integers(0, 255, (64 // (1 + 7 * k), 64 // (1 + 7 * k), 3)).astype(np.uint8).repeat(1 + 7 * k, 0).repeat(1 + 7 * k, 1)
+            (tmp_path / "photos" / kind / f"{kind}{n}.ppm").write_bytes(images.encode(m))
+    common = ["--dataset", "images", "--root", f"file://{tmp_path}/photos", "--images", f"file://{tmp_path}/photos", "--work", f"file://{tmp_path}/work", "--components", "8", "--keep-background"]
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    calls = []
+    extract = images.extract
+    monkeypatch.setattr(images, "extract", lambda *a, **k: calls.append(1) or extract(*a, **k))
+    assert cli.main(["train", *common]) == 0 and cli.main(["train", *common]) == 0
+    assert len(calls) == 1 and "Accuracy: 1.0000" in capsys.readouterr().out
+    assert cli.main(["index", *common, "--out", f"file://{tmp_path}/index"]) == 0
+    assert cli.main(["predict", "--index", f"file://{tmp_path}/index", "--images", f"file://{tmp_path}/photos", "--keep-background"]) == 0
+    lines = capsys.readouterr().out.split("\n")
+    assert sum(line.split(":")[0].rstrip("0123456789") in line.split(":")[1] for line in lines if ":" in line) == 10
+
+
+def test_ready_made_parts(spark, tmp_path):
+    rows = lambda ids: spark.createDataFrame([(str(i), f"c{i % 2}", "p") for i in ids], "image_id string, identity string, path string")
+    for name, ids in (("a", range(6)), ("b", range(6, 10))):
+        tables.write_metadata(rows(ids), f"file://{tmp_path}/{name}")
+    both = tables.with_split(tables.read_metadata(spark, f"file://{tmp_path}/a"), tables.read_metadata(spark, f"file://{tmp_path}/b"))
+    assert {r["split"]: r["count"] for r in both.groupBy("split").count().collect()} == {"train": 6, "test": 4}
+
+
 def test_cli_needs_its_arguments():
     with pytest.raises(SystemExit) as e:
         cli.main(["predict"])
     assert e.value.code == 2
+    for missing in (["train", "--root", "x"], ["train", "--descriptors", "d"], ["train", "--train-csv", "a", "--descriptors", "d"]):
+        with pytest.raises(SystemExit) as e:
+            cli.main(missing)
+        assert e.value.code == 2
