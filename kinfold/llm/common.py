@@ -113,15 +113,19 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> D
     return many.join(one, [key, deal]).drop(deal)
 
 
-#: Rows of an Arrow batch at most, for texts that are long and workers that hold several copies.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most, as texts are long and workers hold several copies. A
+#: batch ends with the row that goes beyond the bytes, so a longer text is one by itself.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep this session's Arrow batches small; a lower setting of its own stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Keep this session's Arrow batches small; lower settings of its own stay."""
+    rows, size = (f"spark.sql.execution.arrow.max{what}PerBatch" for what in ("Records", "Bytes"))
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    number, unit = re.match(r"(-?\d+)\s*([bkmg]?)", spark.conf.get(size, "-1").lower()).groups()
+    if not 0 < int(number) * {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[unit] <= BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
 def widened(df: DataFrame, **columns: str) -> T.StructType:

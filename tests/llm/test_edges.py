@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -477,6 +478,14 @@ def test_scratch_is_removed_whatever_happens(spark, tmp_path):
         assert not any(map(os.path.exists, paths))
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    from kinfold.llm import common
+
+    common.small_batches(spark)
+    sizes = spark.range(0, 300, 1, 1).selectExpr("repeat('x', 200000) as t").mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in it), "n long").toPandas().n
+    assert len(sizes) > 5 and sizes.max() <= common.BATCH_BYTES + 400_000
+
+
 def test_fresh_names():
     assert fresh(["a", "GONE", "_gone"], "gone") == "__gone"
 
