@@ -123,7 +123,7 @@ def small_batches(spark: SparkSession) -> None:
     rows, size = (f"spark.sql.execution.arrow.max{what}PerBatch" for what in ("Records", "Bytes"))
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
-    number, unit = re.match(r"(-?\d+)\s*([bkmg]?)", spark.conf.get(size, "-1").lower()).groups()
+    number, unit = re.match(r"(-?\d+)\s*([bkmg]?)", spark.conf.get(size, "64m").lower()).groups()
     if not 0 < int(number) * {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[unit] <= BATCH_BYTES:
         spark.conf.set(size, f"{BATCH_BYTES}b")
 
