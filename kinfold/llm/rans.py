@@ -31,9 +31,9 @@ from kinfold.llm.common import col, new_path, save, small_batches
 
 BITS = 16
 #: Ids a block holds before it is closed: the document that fills it is its last, however long.
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 18
 #: Lanes of a block at most, and steps between two checkpoints.
-LANES, STRIDE = 256, 64
+LANES, STRIDE = 1024, 64
 BATCH = 256
 #: Bytes of ids a part of the set is meant to hold.
 PART_BYTES = 128 << 20
@@ -132,21 +132,28 @@ class Coder:
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n, ids`` for every row, in the shared folder; ids of the width the vocabulary needs."""
+    """``doc_id, n, ids, tally`` for every row, in the shared folder; ids of the width the vocabulary
+    needs. Each task adds a row with ``n`` of -1 whose ``tally`` says how often it met each id (u64)."""
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         enc = bpe.encoder(bpe.default_path(tokenizer))
         closing = np.array([end_id], enc.dtype).tobytes()
+        tally, key_type = np.zeros(max(enc.size, end_id + 1), np.int64), None
+        names = ["doc_id", "n", "ids", "tally"]
         for batch in batches:
+            key_type = batch.schema.field(0).type
             for k in range(0, batch.num_rows, BATCH):
                 rows = batch.slice(k, BATCH)
                 ids = [x + closing for x in enc.encode_all([t or "" for t in rows.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+                tally += np.bincount(np.frombuffer(b"".join(ids), enc.dtype), minlength=len(tally))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        if key_type:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([tally.astype("<u8").tobytes()], pa.binary())], names=names)
 
     narrow = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    return save(narrow.mapInArrow(run, f"doc_id {id_type}, n long, ids binary"), "encoded")
+    return save(narrow.mapInArrow(run, f"doc_id {id_type}, n long, ids binary, tally binary"), "encoded")
 
 
 def coded_blocks(made: DataFrame, freq: np.ndarray) -> DataFrame:
@@ -156,7 +163,7 @@ def coded_blocks(made: DataFrame, freq: np.ndarray) -> DataFrame:
     id_type = made.schema["doc_id"].dataType.simpleString()
     size = made.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    tie = made.withColumn("tie", F.xxhash64("ids"))
+    tie = made.where("n >= 0").select("doc_id", "n", "ids", F.xxhash64("ids").alias("tie"))
     ordered = tie.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     shared = spark.sparkContext.broadcast(freq)
 
@@ -202,17 +209,15 @@ def frequencies(made: DataFrame) -> np.ndarray:
     """How often each id occurs; one row per id of the vocabulary reaches the driver, never more."""
 
     def run(batches):
-        counts = np.zeros(1 << BITS, np.int64)
+        counts = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = np.bincount(np.frombuffer(ids, f"<u{len(ids) // n}"), minlength=len(counts))
-                if len(got) > len(counts):
-                    counts = np.pad(counts, (0, len(got) - len(counts)))
-                counts += got
+            for raw in batch.column(0).to_pylist():
+                got = np.frombuffer(raw, "<u8").astype(np.int64)
+                counts = got if not len(counts) else counts + got
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(counts[used])], names=["id", "n"])
 
-    rows = made.select("ids", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = made.where("n = -1").select("tally").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     used = np.asarray(rows["id"], np.int64)
     counts = np.zeros(int(used.max()) + 1 if len(used) else 1, np.int64)
     counts[used] = np.asarray(rows["n"], np.int64)
