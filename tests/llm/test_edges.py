@@ -478,6 +478,39 @@ def test_scratch_is_removed_whatever_happens(spark, tmp_path):
         assert not any(map(os.path.exists, paths))
 
 
+def test_hot_keys_are_dealt_out(spark):
+    """One key on half of all rows, null ids among them: no task holds more than a part of it."""
+    from pyspark.sql import functions as F
+
+    from kinfold.llm import common
+
+    n = 40_000
+    left = spark.range(n).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"), F.when(F.col("id") % 4 > 0, F.col("id")).alias("v"), F.col("id").alias("deal"))
+    right = left.select("k").distinct().withColumn("w", F.col("k") * 2)
+    hot = common.hot_keys(left.groupBy("k").count(), "k", "count", n)
+    assert [r["k"] for r in hot.collect()] == [0]
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(old, ("false", "-1", "16")):
+            spark.conf.set(c, v)
+        made = common.dealt_join(left, right, "k", hot)
+        assert set(made.columns) == {"k", "v", "deal", "w"} and made.where("w = k * 2").count() == n
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        plain = [r["count"] for r in left.join(right, "k").groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < n / 5 < n / 2 <= max(plain)
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
+def test_frequent_long_pretokens_are_not_shuffled(spark):
+    rule = "-" * 500
+    docs = spark.createDataFrame([(i, f"{rule}\nword{i}") for i in range(200)], "doc_id long, text string")
+    got = by_id(tokencount.token_counts(docs))
+    tok = library("byte_bpe_50k.json")
+    assert all(got[i]["n_tokens"] == len(tok.encode(f"{rule}\nword{i}", add_special_tokens=False).ids) for i in range(200))
+
+
 def test_batches_are_bounded_by_bytes(spark):
     from kinfold.llm import common
 
