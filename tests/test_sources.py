@@ -135,6 +135,25 @@ def test_cli_from_images_to_predictions(spark, tmp_path, capsys, monkeypatch):
     assert sum(line.split(":")[0].rstrip("0123456789") in line.split(":")[1] for line in lines if ":" in line) == 10
 
 
+def test_descriptors_from_hdf5(spark, tmp_path):
+    """By way of a stand-in for h5py that the workers import: the same calls over numpy's own files."""
+    (tmp_path / "h5py.py").write_text(
+        "import numpy as np\n"
+        "class File:\n"
+        "    def __init__(self, path, mode): self.data = np.load(path)\n"
+        "    def __enter__(self): return self\n"
+        "    def __exit__(self, *e): pass\n"
+        "    def __iter__(self): return iter(self.data.files)\n"
+        "    def __getitem__(self, key): return self.data[key]\n"
+    )
+    spark.sparkContext.addPyFile(str(tmp_path / "h5py.py"))
+    own = {"a": np.arange(8.0).reshape(2, 4), "none": np.empty((0, 4)), "b": np.ones((1, 4))}
+    with open(tmp_path / "d.h5", "wb") as f:
+        np.savez(f, **own)
+    rows = tables.descriptors_from_hdf5(spark, [str(tmp_path / "d.h5")]).orderBy("image_id", "desc_idx").collect()
+    assert [(r["image_id"], r["desc_idx"], r["desc"]) for r in rows] == [("a", 0, [0, 1, 2, 3]), ("a", 1, [4, 5, 6, 7]), ("b", 0, [1, 1, 1, 1])]
+
+
 def test_ready_made_parts(spark, tmp_path):
     rows = lambda ids: spark.createDataFrame([(str(i), f"c{i % 2}", "p") for i in ids], "image_id string, identity string, path string")
     for name, ids in (("a", range(6)), ("b", range(6, 10))):
