@@ -22,7 +22,7 @@ PLAIN = re.compile(r"[^\t-\r -~\xa1-ɏ‐-‧‰-⁞€]")
 #: Spaces other than a blank and a line feed.
 SPACES = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0]")
 #: Chunks whose ids an encoder keeps, and the longest of them.
-CACHE, CACHE_CHARS = 600_000, 64
+CACHE, CACHE_CHARS = 300_000, 64
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
 #: The same patterns for ``PLAIN`` texts, with the classes written out.
