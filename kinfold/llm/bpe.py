@@ -7,11 +7,12 @@ gives the same merges. Texts the rank table is not proven on (special strings, c
 
 from __future__ import annotations
 
-import bisect
 import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The split patterns stated in the two tokenizer files.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -21,8 +22,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile(r"[^\t-\r -~\xa1-ɏ‐-‧‰-⁞€]")
 #: Spaces other than a blank and a line feed.
 SPACES = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0]")
-#: Chunks whose ids an encoder keeps, and the longest of them.
-CACHE, CACHE_CHARS = 300_000, 64
+#: Characters of texts whose chunks are put together at a time: bounds what a worker holds beside its batch.
+GROUP = 2 << 20
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
 #: The same patterns for ``PLAIN`` texts, with the classes written out.
@@ -30,9 +31,8 @@ BYTE_SPLIT = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\t-\r {_L}{_N}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 )
 _BLANKS = re.compile("  +")
-_RUN = re.compile(rf"[^\t-\r {_L}]+")
-_RUN_SPLIT = re.compile(rf"[{_N}]|[^\t-\r {_L}{_N}]+").findall
-_WORD_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\t-\r {_L}{_N}]+").findall
+#: What the word pattern parts from a run of letters, which is all that lies between.
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_N}]|[^\t-\r {_L}{_N}]+")
 
 
 def _byte_of() -> dict[str, int]:
@@ -42,15 +42,6 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def _has_quote(chunk: str) -> bool:
-    """Whether a chunk may hold a contraction, which splits other than by character class."""
-    return "'" in chunk
-
-
-def _spread(match: re.Match) -> str:
-    return " " + " ".join(_RUN_SPLIT(match[0])) + " "
-
-
 class Bpe:
     """ids of one tokenizer file; made once per Python worker (:func:`encoder`)."""
 
@@ -69,7 +60,6 @@ class Bpe:
         kind, pre = self._kind(spec), _byte_of()
         self.kind = kind
         self.ranks = None
-        self.cache: dict[str, bytes] = {}
         if kind == "byte":
             ranks = {bytes(pre[c] for c in t): i for t, i in vocab.items() if t not in self.special}
             self.ranks = tiktoken.Encoding("byte", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={"\0": self.size})
@@ -117,70 +107,65 @@ class Bpe:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, packed as little-endian ``dtype``.
 
-        Plain texts are cut at blanks, which no merge crosses; the ids of each distinct chunk are
-        made once and kept, in at most ``CACHE`` entries.
+        Plain texts are cut at blanks, which no merge crosses; the ids of each distinct chunk of
+        these texts are made once and put together by number. Nothing is kept between calls.
         """
         out: list = [None] * len(texts)
-        open_: list = []
-        need: set[str] = set()
-        find = self.cache.get
+        at: list[int] = []
+        marked: list[str] = []
         for k, text in enumerate(texts):
-            chunks = self._chunks(text)
-            if chunks is None:
-                if self.kind == "byte" and self.plain(text):
-                    ids = self.ranks.encode_ordinary(text)
-                else:
-                    ids = self.library.encode(text, add_special_tokens=False).ids
-                out[k] = np.array(ids, self.dtype).tobytes()
-                continue
-            got = list(map(find, chunks))
-            holes = [i for i, g in enumerate(got) if g is None]
-            if holes:
-                need.update([chunks[i] for i in holes])
-                open_.append((k, chunks, got, holes))
+            own = self._marked(text)
+            if own is not None:
+                at.append(k)
+                marked.append(own)
+            elif self.kind == "byte" and self.plain(text):
+                out[k] = self.ranks.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes()
             else:
-                out[k] = b"".join(got)
-        if need:
-            if len(self.cache) + len(need) > CACHE:
-                self.cache.clear()
-            self._learn(list(need))
-        for k, chunks, got, holes in open_:
-            for i in holes:
-                got[i] = self.cache[chunks[i]]
-            out[k] = b"".join(got)
-        for c in need:
-            if len(c) > CACHE_CHARS:
-                del self.cache[c]
+                out[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        ends = np.cumsum([0, *map(len, marked)])
+        first = 0
+        while first < len(marked):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + GROUP, "right")) - 1)
+            for k, ids in zip(at[first:last], self._joined(marked[first:last])):
+                out[k] = ids
+            first = last
         return out
 
-    def _chunks(self, text: str) -> list[str] | None:
-        """Parts of a plain text that are encoded apart; None if the library has to read it whole."""
+    def _marked(self, text: str) -> str | None:
+        """A plain text with a NUL between chunks that are encoded apart; None if it is to be read whole."""
         if not self.plain(text):
             return None
         if self.kind == "word":
             low = text.lower()
-            return low.split() if low.isascii() or not PLAIN.search(low) else None
+            return "\0".join(low.split()) if low.isascii() or not PLAIN.search(low) else None
         if "  " in text or "\n " in text or " \n" in text or "\n\n\n" in text or text.endswith(("\n\n", " ")) or not text or SPACES.search(text):
-            return None if len(text) < 1 << 16 else ["\0" + text]
-        # A chunk means itself after a blank; with a leading line feed or NUL, itself alone.
-        chunks = text.replace("\n", " \n").split(" ")
-        chunks[0] = "\0" + chunks[0]
-        return chunks
-
-    def _learn(self, need: list[str]) -> None:
+            return None
+        return text.replace("\n", "\0\n").replace(" ", "\0 ")
+
+    def _joined(self, marked: list[str]) -> list[bytes]:
+        split = pc.split_pattern(pa.array(marked, pa.large_string()), "\0")
+        chunks = split.flatten().dictionary_encode()
+        number = chunks.indices.to_numpy()
+        ids, ends = self._ids(chunks.dictionary)
+        size = np.diff(ends, prepend=0)
+        width = size[number]
+        stop = np.cumsum(width)
+        place = np.repeat((ends - size)[number] - stop + width, width)
+        place += np.arange(len(place))
+        raw = ids[place].tobytes()
+        bounds = np.concatenate([[0], stop])[split.offsets.to_numpy()] * self.dtype.itemsize
+        return [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+    def _ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, one after another, and where each chunk's end."""
         if self.kind == "byte":
-            parts = "\0".join([c[1:] if c[:1] == "\0" else c if c[:1] == "\n" else " " + c for c in need]) + "\0"
+            parts = "\0".join(chunks.to_pylist()) + "\0"
         else:  # every pre-token ends with a blank, every chunk with a NUL
-            need.sort(key=_has_quote)
-            n = bisect.bisect_left(need, True, key=_has_quote)
-            spread = _RUN.sub(_spread, " \n".join(need[:n]) + " \n") if n else ""
-            parts = _BLANKS.sub(" ", spread).replace(" \n", " \0").replace("\0 ", "\0")
-            parts += "".join([" ".join(_WORD_SPLIT(c)) + " \0" for c in need[n:]])
+            parts = _PIECE.sub(r" \g<0> ", " \n".join(chunks.to_pylist()) + " \n")
+            parts = _BLANKS.sub(" ", parts).replace(" \n", " \0").replace("\0 ", "\0")
         ids = self.ranks.encode_to_numpy(parts, allowed_special={"\0"})
-        ends = np.flatnonzero(ids == self.size) * self.dtype.itemsize
-        raw, at, width, known = ids.astype(self.dtype).tobytes(), 0, self.dtype.itemsize, self.cache
-        for c, to in zip(need, ends.tolist()):
-            known[c], at = raw[at:to], to + width
+        marks = np.flatnonzero(ids == self.size)
+        return ids[ids != self.size].astype(self.dtype), marks - np.arange(len(marks))
 
     def pretokens(self, text: str) -> list[str]:
         """The pieces the merges work on; special strings, which count as one id, are left out."""

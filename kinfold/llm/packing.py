@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 from kinfold.llm import bpe
 from kinfold.llm.common import col, save, small_batches
 
-#: Documents encoded at a time: bounds what a Python worker holds beside its batch.
-BLOCK = 256
-
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``part, local, doc_id, n_tokens, ids``, written to the shared folder.
@@ -38,16 +35,14 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
         part, local = TaskContext.get().partitionId(), 0
         closing = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, BLOCK):
-                rows = batch.slice(k, BLOCK)
-                ids = [x + closing for x in enc.encode_all([t or "" for t in rows.column(1).to_pylist()])]
-                n = np.array([len(x) // enc.dtype.itemsize for x in ids], np.int64)
-                start = local + np.cumsum(n) - n
-                local += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part, np.int64)), pa.array(start), rows.column(0), pa.array(n), pa.array(ids, pa.binary())],
-                    names=["part", "local", "doc_id", "n_tokens", "ids"],
-                )
+            ids = [x + closing for x in enc.encode_all([t or "" for t in batch.column(1).to_pylist()])]
+            n = np.array([len(x) // enc.dtype.itemsize for x in ids], np.int64)
+            start = local + np.cumsum(n) - n
+            local += int(n.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ids), part, np.int64)), pa.array(start), batch.column(0), pa.array(n), pa.array(ids, pa.binary())],
+                names=["part", "local", "doc_id", "n_tokens", "ids"],
+            )
 
     return save(narrow.mapInArrow(run, f"part long, local long, doc_id {id_type}, n_tokens long, ids binary"), "tokens")
 

@@ -34,7 +34,6 @@ BITS = 16
 BLOCK_IDS = 1 << 18
 #: Lanes of a block at most, and steps between two checkpoints.
 LANES, STRIDE = 1024, 64
-BATCH = 256
 #: Bytes of ids a part of the set is meant to hold.
 PART_BYTES = 128 << 20
 
@@ -144,11 +143,9 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
         names = ["doc_id", "n", "ids", "tally"]
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for k in range(0, batch.num_rows, BATCH):
-                rows = batch.slice(k, BATCH)
-                ids = [x + closing for x in enc.encode_all([t or "" for t in rows.column(1).to_pylist()])]
-                tally += np.bincount(np.frombuffer(b"".join(ids), enc.dtype), minlength=len(tally))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+            ids = [x + closing for x in enc.encode_all([t or "" for t in batch.column(1).to_pylist()])]
+            tally += np.bincount(np.frombuffer(b"".join(ids), enc.dtype), minlength=len(tally))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
         if key_type:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([tally.astype("<u8").tobytes()], pa.binary())], names=names)
 

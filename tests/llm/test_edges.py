@@ -291,13 +291,22 @@ def test_ids_are_those_of_the_library(text):
             assert sum(enc.count(enc.pretokens(text))) + enc.specials(text) == len(want)
 
 
-def test_encoder_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 50)
+def test_encoder_keeps_nothing_between_calls():
     enc = bpe.Bpe(bpe.default_path("byte_bpe_50k.json"))
+    held = set(vars(enc))
     texts = [" ".join(f"tok{i}{j}" for j in range(30)) for i in range(20)]
     got = [x for t in texts for x in enc.encode_all([t])]
     assert [np.frombuffer(x, enc.dtype).tolist() for x in got] == [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
-    assert len(enc.cache) <= 50
+    assert set(vars(enc)) == held and not any(isinstance(v, (dict, set)) for v in vars(enc).values())
+
+
+def test_texts_encoded_together_are_as_alone():
+    texts = ["", " ", "a b", "don't, 'ted 12½", "\nx\n\ny", "x  y", "a\0b", "<|endoftext|>", "é " * 40_000, "z" * 3000, "日本 x", " lead", "trail "]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = bpe.encoder(bpe.default_path(name))
+        got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode_all(texts * 2)]
+        assert got == [enc.library.encode(t, add_special_tokens=False).ids for t in texts] * 2
+    assert enc.encode_all([]) == []
 
 
 def test_packing(docs):
