@@ -3,7 +3,8 @@
 The gallery never moves: queries are broadcast in blocks of bounded size, each gallery task keeps
 its own best ``k`` per query by a blocked matrix product, and only these are shuffled and ranked.
 With more than one block both sides are written once first, the queries by block, so that a block's
-pass reads its own queries and the stored gallery, whatever made them.
+pass reads its own queries and the stored gallery, whatever made them; what a pass found is written
+too and its broadcast given up, so blocks never add up, and the plan of the result has one scan.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.shared import staged
+from kinfold.shared import new_path, staged
 
 #: Bytes of query vectors broadcast at a time.
 BLOCK_BYTES = 64 << 20
@@ -61,16 +62,18 @@ def top_k(
     schema = f"query_id {q_type}, gallery_id {g_type}, similarity double"
     size = q.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
     parts = -(-size["n"] * max(1, size["d"] or 1) * 8 // block_bytes)
-    blocks = [q] if parts == 1 else []
-    if parts > 1:  # by a hash of the id, so the driver holds one block and never the set
+    if parts <= 1:
+        shared = spark.sparkContext.broadcast(_block(q)) if parts else None
+        found = g.mapInArrow(_scorer(shared, k), schema) if parts else spark.createDataFrame([], schema)
+    else:  # by a hash of the id; the driver and the executors hold one block at a time and never the set
         q = staged(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")), "queries", "block")
         g = staged(g, "gallery")
-        blocks = [q.where(F.col("block") == p).select("query_id", "vec") for p in range(parts)]
-    found = spark.createDataFrame([], schema)
-    for n, rows in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(_block(rows))
-        part = g.mapInArrow(_scorer(shared, k), schema)
-        found = found.unionByName(part) if n else part
+        path = new_path(spark, "found")
+        for p in range(parts):
+            shared = spark.sparkContext.broadcast(_block(q.where(F.col("block") == p).select("query_id", "vec")))
+            g.mapInArrow(_scorer(shared, k), schema).write.parquet(f"{path}/{p}")
+            shared.destroy()
+        found = spark.read.schema(schema).parquet(*(f"{path}/{p}" for p in range(parts)))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("gallery_id"))
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 

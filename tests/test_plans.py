@@ -37,3 +37,12 @@ def test_reports_are_partial_aggregates(spark, sf_dir):
 def test_confusion_needs_no_cross_join(spark, sf_dir):
     for q in (queries.confusion_matrix, queries.most_confused):
         assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan(q(spark, sf_dir)))
+
+
+def test_query_blocks_leave_one_scan_of_what_they_found(spark):
+    from kinfold.operators import retrieve
+
+    rows = spark.range(40).selectExpr("cast(id as string) as image_id", "array(cast(id as double), 1D, 2D) as fv")
+    text = plan(retrieve.top_k(rows, rows, 3, block_bytes=256))
+    assert len(re.findall(r"FileScan|Scan parquet", text)) == 1
+    assert "Union" not in text and "MapInArrow" not in text
