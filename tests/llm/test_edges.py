@@ -309,6 +309,15 @@ def test_texts_encoded_together_are_as_alone():
     assert enc.encode_all([]) == []
 
 
+def test_groups_of_texts_give_the_same_ids(monkeypatch):
+    enc = bpe.encoder(bpe.default_path("word_bpe_49k.json"))
+    texts = ["", "one two", "three " * 50, "", "four", "x" * 90, "five 6"]
+    want = enc.encode_all(texts)
+    for size in (1, 7, 100):
+        monkeypatch.setattr(bpe, "GROUP", size)
+        assert enc.encode_all(texts) == want
+
+
 def test_packing(docs):
     packed = packing.pieces(docs).cache()
     rows = packed.collect()
