@@ -23,7 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays whose texts share 80 % of their five-word shingles."""
+    """One document of each group stays whose texts share 80 % of their five-word shingles: SimHash and
+    BK-trees find the pairs, measured then, and an exact way those further apart than the trees reach."""
     return resemblance.deduplicate(docs)
 
 

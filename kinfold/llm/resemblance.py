@@ -1,12 +1,17 @@
-"""Near-duplicates by the exact resemblance (Jaccard) of word shingles.
-
-Each distinct shingle set puts its shingles in one global order, rare before common. Two sets that
-resemble each other by ``similarity`` share one of their first ``n - ceil(similarity * n) + 1``
-shingles, so sets that meet in such a prefix are the candidates and none is missed; lengths and the
-place of the shared shingle rule most of them out, and tallies of the hashes give a bound on what two sets share, before
-the sets themselves are compared. Which shingles are
-common is estimated on a sample, which sets the order only. Candidates are first compared with one
-set of each bucket, and only those not connected by then with all others.
+"""Near-duplicates by SimHash, BK-trees and the exact resemblance (Jaccard) of word shingles.
+
+Operator 5 at a wider radius comes first: its SimHash fingerprints, BK-trees over shards of them that
+find the links within ``RADIUS`` bits and most of those within ``REACH``, the linked sets compared
+whole, and connected components of those that resemble each other by ``similarity``.
+
+No radius is sure to hold all such pairs, so an exact way finds what is not connected by then. Each
+distinct shingle set puts its shingles in one global order, rare before common. Two sets that resemble
+each other share one of their first ``n - ceil(similarity * n) + 1`` shingles, so sets that meet in
+such a prefix are the candidates and none is missed; lengths and the place of the shared shingle rule
+most of them out, and tallies of the hashes give a bound on what two sets share, before the sets
+themselves are compared. Which shingles are common is estimated on a sample, which sets the order
+only. Candidates are first compared with one set of each bucket, and only those not connected by then
+with all others.
 """
 
 from __future__ import annotations
@@ -19,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import col, dealt_join, hot_keys, save, small_batches
-from kinfold.llm.simhash import _signed, _words, components, keep_least, least_of_class
+from kinfold.llm.simhash import _signed, _words, components, fingerprint, keep_least, least_of_class
+from kinfold.llm.simhash import links as near_fingerprints
 
 #: One text in so many is counted for the order; shingles counted so often there are common, and so many are held.
 SAMPLE, COMMON, HELD = 16, 6, 200_000
+#: Differing bits of two fingerprints within which all links are found to compare sets by, and as far as trees search.
+RADIUS, REACH = 6, 11
 #: Comparisons with one set beyond which they are dealt out, and keys broadcast at most (8 bytes each).
 DEAL, BROADCAST_KEYS = 1_000, 4_000_000
 
@@ -89,7 +97,7 @@ def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``doc_id, text, key, n, tally, prefix`` for every row (``doc_id, text``): ``key`` is the set's hash."""
+    """``doc_id, text, key, fp, n, tally, prefix`` for every row (``doc_id, text``): ``key`` is the set's hash, ``fp`` the SimHash."""
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, size))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -98,18 +106,19 @@ def _sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
 
         common, counts = shared.value
         for batch in batches:
-            own = [shingles(t, size) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            own = [shingles(t, size) for t in texts]
             first = [prefix(s, common, counts, similarity) if len(s) else s for s in own]
             offsets = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes(), 42)) for s in own], pa.int64()),
-                    pa.array([len(s) for s in own], pa.int64()), pa.array([tally(s) for s in own], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64))),
+                    pa.array([_signed(fingerprint(t)) for t in texts], pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array([tally(s) for s in own], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64))),
                 ],
-                names=["doc_id", "text", "key", "n", "tally", "prefix"],
+                names=["doc_id", "text", "key", "fp", "n", "tally", "prefix"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, text string, key long, n long, tally binary, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id {id_type}, text string, key long, fp long, n long, tally binary, prefix array<long>")
 
 
 def _small(keys: DataFrame) -> DataFrame:
@@ -149,15 +158,38 @@ def _may(similarity: float):
     return (F.least(ln, rn) >= similarity * F.greatest(ln, rn) - 1e-6) & (rest >= similarity / (1 + similarity) * (ln + rn) - 1e-6)
 
 
-def links(sets: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links ``a, b`` between distinct sets (``key, text, n, tally, prefix``), enough to connect all pairs that resemble."""
+def _fingerprint_pairs(sets: DataFrame, radius: int, reach: int) -> DataFrame:
+    """Pairs ``a, b`` of sets to compare: those of one fingerprint, and of linked ones, by its least set."""
+    own = save(sets.select("key", "fp"), "fingerprints")
+    least = save(own.groupBy("fp").agg(F.min("key").alias("a"), F.count("*").alias("n")), "least")
+    near = save(near_fingerprints(least, radius, reach), "near-fingerprints")
+    need = save(near.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "needed")
+    named = save(least.select("fp", "a").join(_small(need), "fp", "left_semi"), "named")
+    left, right = (named.select(F.col("fp").alias(c), F.col("a").alias(f"key_{c}")) for c in "ab")
+    pairs = near.join(_small(left), "a").join(_small(right), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    several = save(least.where("n > 1").select("fp", "a"), "shared")
+    return pairs.unionByName(own.join(_small(several), "fp").where("key <> a").select("a", F.col("key").alias("b")))
+
+
+def links(sets: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = RADIUS, reach: int = REACH) -> DataFrame:
+    """Links ``a, b`` between distinct sets (``key, text, fp, n, tally, prefix``), enough to connect all pairs that resemble."""
+
+    def resembling(pairs: DataFrame) -> DataFrame:
+        pairs = _compared(pairs, sets, "tally", lambda x: np.frombuffer(x, np.uint8), lambda a, b: may_resemble(a, b, similarity))
+        return _compared(pairs, sets, "text", lambda x: shingles(x, size), lambda a, b: resembles(a, b, similarity))
+
     step = math.log(1 / similarity) if similarity < 1 else 1.0
     rows = sets.select("key", F.shiftleft("n", 32).alias("n"), F.posexplode("prefix").alias("pos", "token")).select("token", "key", (F.col("n") + F.col("pos")).alias("place"))
     met = rows.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select("token")
     rows = save(rows.join(met, "token", "left_semi"), "prefixes")
     rows = rows.withColumn("class", F.floor(F.log(F.shiftright("place", 32)) / step))
-    found, left = None, rows.withColumn("root", F.col("key"))
+    found = save(resembling(_fingerprint_pairs(sets, radius, reach)), "near")
     for turn in ("least", "mixed", "all"):
+        left = rows.join(components(found), F.col("key") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "key").alias("root"))
+        apart = left.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+        left = save(left.join(apart, "token", "left_semi"), "apart")
+        if left.isEmpty():
+            break
         if turn == "all":
             pairs = left.alias("l").join(left.alias("r"), "token").where("l.key < r.key and l.root <> r.root")
         else:
@@ -165,24 +197,17 @@ def links(sets: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
             heart = left.groupBy("token", "class").agg(F.min_by(F.struct("key", "place", "root"), rank).alias("c")).select("token", "class", "c.*")
             pairs = heart.alias("l").join(left.alias("r"), ["token", "class"]).where("l.key <> r.key and l.root <> r.root")
         pairs = pairs.where(_may(similarity)).select(F.col("l.key").alias("a"), F.col("r.key").alias("b"))
-        pairs = _compared(pairs, sets, "tally", lambda x: np.frombuffer(x, np.uint8), lambda a, b: may_resemble(a, b, similarity))
-        near = _compared(pairs, sets, "text", lambda x: shingles(x, size), lambda a, b: resembles(a, b, similarity))
-        found = save(near if found is None else found.unionByName(near), "near")
-        if turn != "all":
-            left = rows.join(components(found), F.col("key") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "key").alias("root"))
-            apart = left.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-            left = save(left.join(apart, "token", "left_semi"), "apart")
-            if left.isEmpty():
-                break
+        found = save(resembling(pairs).unionByName(found), "near")
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = RADIUS, reach: int = REACH) -> DataFrame:
     """One row per document: ``doc_id, component_id``, the least ``doc_id`` reachable over links.
 
     Texts link whose ``size``-word shingles resemble each other by ``similarity`` or more, which is
-    measured on the whole sets. Words are those of ``simhash``. Texts without words (null ones too)
-    are copies of each other. A null id takes the component's least id; repeated rows repeat.
+    measured on the whole sets: first on those that the BK-trees find (all within ``radius`` bits, most
+    within ``reach``), then on those that only a shared prefix leads to. Words are those of ``simhash``.
+    Texts without words (null ones too) are copies of each other. A null id takes the component's least id; repeated rows repeat.
     """
     if not 0 < similarity <= 1:
         raise ValueError("similarity is above 0 and 1 at most")
@@ -192,11 +217,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = save(marks.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("n")), "keys")
     copies = save(marks.select("row").join(least, "row", "left_anti"), "copies")
     sets = marks.where("n > 0").join(_small(copies), "row", "left_anti")
-    classes = least_of_class(least, components(links(sets, size, similarity)), "key")
+    classes = least_of_class(least, components(links(sets, size, similarity, radius, reach)), "key")
     total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return dealt_join(marks.select("doc_id", "key"), classes, "key", hot_keys(least, "key", "n", total)).select("doc_id", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = RADIUS, reach: int = REACH) -> DataFrame:
     """``docs`` with one document of each component, as ``simhash.deduplicate`` keeps them."""
-    return keep_least(docs, near_duplicates(docs, id_col, text_col, size, similarity), id_col, text_col)
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, size, similarity, radius, reach), id_col, text_col)

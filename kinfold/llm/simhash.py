@@ -1,12 +1,14 @@
 """SimHash near-duplicates: fingerprints, BK-trees over shards of them, connected components.
 
-Two fingerprints within ``radius`` bits agree on all but ``radius`` of their 16-bit blocks, so each
-is sent to one shard per pair of blocks (6 shards for 64 bits and radius 2); a shard holds what
-agrees on two blocks and searches itself with a BK-tree, children keyed by their integer distance
-to the parent and only edges within the radius followed. A shard is the bounded unit: at most one
-distinct fingerprint per value of the other 32 bits, and one that holds more than ``SPLIT`` is
-dealt out again on 8-bit blocks of these. A shard emits links enough to connect what it holds,
-one less than fingerprints, never all pairs.
+Two fingerprints within ``radius`` bits agree on at least two of ``radius + 2`` blocks of their bits,
+so each is sent to one shard per pair of blocks (6 shards for radius 2, 28 for 6); a shard holds
+what agrees on two blocks and searches itself with a BK-tree, children keyed by their integer
+distance to the parent and only edges within the radius followed. A shard that holds more than
+``SPLIT`` is dealt out again on as many blocks of the other bits; for radius 2 it then holds one
+distinct fingerprint per value of the 16 bits left at most. The trees may search further than the
+radius that shards are laid out for (``reach``): they then also find those pairs within reach that
+agree on two blocks by chance. A shard emits links enough to connect what it holds, one less than
+fingerprints, never all pairs.
 """
 
 from __future__ import annotations
@@ -68,44 +70,46 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BKTree:
-    """Fingerprints by Hamming distance: a node's children are keyed by their distance to it."""
+    """Fingerprints by Hamming distance: a node's children are keyed by their distance to it.
+
+    A node is ``[fp, tag, children, whole]``; ``whole`` says that its subtree was connected when last
+    added to, so a search passes by one that it is connected to.
+    """
 
     def __init__(self, radius: int):
         self.radius, self.root = radius, None
 
-    def near_then_add(self, fp: int, tag: int) -> list[int]:
-        """Tags of nodes within the radius, then insert."""
+    def link_then_add(self, fp: int, tag: int, top, join) -> None:
+        """``join`` the tag to those of nodes within the radius (``top`` names a tag's class), then insert."""
         if self.root is None:
-            self.root = (fp, tag, {})
-            return []
-        radius, found = self.radius, []
-        stack, home = [self.root], None
-        path = self.root
+            self.root = [fp, tag, {}, True]
+            return
+        radius, stack, mine = self.radius, [self.root], tag
         while stack:
             node = stack.pop()
+            if node[3] and mine != tag and top(node[1]) == mine:
+                continue
             d = (node[0] ^ fp).bit_count()
-            if d <= radius:
-                found.append(node[1])
-            children = node[2]
-            for k in range(max(1, d - radius), d + radius + 1):
-                child = children.get(k)
-                if child is not None:
+            if d <= radius and join(tag, node[1]):
+                mine = top(tag)
+            least, most = d - radius, d + radius
+            for k, child in node[2].items():
+                if least <= k <= most:
                     stack.append(child)
-            if node is path:
-                nxt = children.get(d)
-                if nxt is None:
-                    home = (children, d)
-                    path = None
-                else:
-                    path = nxt
-        if home[1]:
-            home[0][home[1]] = (fp, tag, {})
-        return found
+        mine, node = top(tag), self.root
+        while node is not None:
+            if node[3] and top(node[1]) != mine:
+                node[3] = False
+            d = (node[0] ^ fp).bit_count()
+            if not d:
+                return
+            last, node = node[2], node[2].get(d)
+        last[d] = [fp, tag, {}, True]
 
 
 def shard_links(fps: list[int], radius: int) -> list[tuple[int, int]]:
     """Links that connect the fingerprints of one shard as all their near pairs would."""
-    tree, parent = BKTree(radius), list(range(len(fps)))
+    tree, parent, out = BKTree(radius), list(range(len(fps))), []
 
     def top(k: int) -> int:
         while parent[k] != k:
@@ -113,45 +117,64 @@ def shard_links(fps: list[int], radius: int) -> list[tuple[int, int]]:
             k = parent[k]
         return k
 
-    out = []
+    def join(k: int, other: int) -> bool:
+        a, b = top(k), top(other)
+        if a == b:
+            return False
+        parent[max(a, b)] = min(a, b)
+        out.append((fps[k], fps[other]))
+        return True
+
     for k, fp in enumerate(fps):
-        for other in tree.near_then_add(fp & 0xFFFFFFFFFFFFFFFF, k):
-            a, b = top(k), top(other)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((fp, fps[other]))
+        tree.link_then_add(fp & 0xFFFFFFFFFFFFFFFF, k, top, join)
     return out
 
 
-def _block(width: int, at: int):
-    return F.shiftrightunsigned("fp", at).bitwiseAND((1 << width) - 1)
+def _cut(bits: int, n: int) -> list[tuple[int, int]]:
+    """First place and end of ``n`` blocks of a number of bits, as even as can be."""
+    return [(bits * k // n, bits * (k + 1) // n) for k in range(n)]
 
 
-def _deal(fps: DataFrame, spare: list[tuple[int, int]], keep: int, tag) -> DataFrame:
-    """Rows ``fp, shard``: one for each choice of ``keep`` of the blocks ``(width, place)``."""
-    choices = [F.struct(F.lit(n).cast("int").alias("c"), *(_block(w, at).alias(f"v{k}") for k, (w, at) in enumerate(pick))) for n, pick in enumerate(combinations(spare, keep))]
-    return fps.select("fp", tag.alias("old"), F.explode(F.array(*choices)).alias("new")).select("fp", F.xxhash64("old", "new").alias("shard"), F.col("new.c").alias("pick"))
+def _deal(fps: DataFrame, blocks: list[tuple[int, int]], value: str, tag) -> DataFrame:
+    """Rows ``fp, shard, pick``: one for each pair of blocks of ``value``."""
+    cut = F.array(*(F.shiftrightunsigned(value, lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in blocks))
+    choices = [F.struct(F.lit(n).alias("c"), F.col("cut")[a].alias("v0"), F.col("cut")[b].alias("v1")) for n, (a, b) in enumerate(combinations(range(len(blocks)), 2))]
+    return fps.select("fp", tag.alias("old"), cut.alias("cut")).select("fp", "old", F.explode(F.array(*choices)).alias("new")).select("fp", F.xxhash64("old", "new").alias("shard"), F.col("new.c").alias("pick"))
 
 
-def links(fps: DataFrame, radius: int = 2) -> DataFrame:
+def _rest(blocks: list[tuple[int, int]]):
+    """The bits outside the two blocks picked, moved together."""
+    places = [[*blocks[a], *blocks[b]] for a, b in combinations(range(len(blocks)), 2)]
+    p = [f"element_at(array({','.join(str(x[k]) for x in places)}), pick + 1)" for k in range(4)]
+    low = f"(fp & (shiftleft(1L, {p[0]}) - 1))"
+    middle = f"shiftleft(shiftrightunsigned(fp, {p[1]}) & (shiftleft(1L, {p[2]} - {p[1]}) - 1), {p[0]})"
+    high = f"if({p[3]} = 64, 0L, shiftleft(shiftrightunsigned(fp, {p[3]}), {p[0]} + {p[2]} - {p[1]}))"
+    return F.expr(f"{low} | {middle} | {high}")
+
+
+def links(fps: DataFrame, radius: int = 2, reach: int | None = None) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints, enough to connect all within ``radius``.
 
+    With a greater ``reach`` the trees search that far: links of up to ``reach`` bits come too,
+    though beyond ``radius`` not all of them.
+
     Shards are keyed by a 64-bit hash of their block values; a clash only joins two shards, which
     cannot add a false link as every link is measured.
     """
-    if not 0 <= radius <= 2:
-        raise ValueError("shards are laid out for a radius of 2 at most")
-    blocks = [(16, 16 * k) for k in range(4)]
-    dealt = save(_deal(fps.select("fp").distinct(), blocks, 2, F.lit(0)), "shards")
+    if not 0 <= radius <= 6:
+        raise ValueError("shards are laid out for a radius of 6 at most")
+    reach = radius if reach is None else max(radius, reach)
+    n_blocks = max(4, radius + 2)
+    blocks = _cut(64, n_blocks)
+    dealt = save(_deal(fps.select("fp").distinct(), blocks, "fp", F.lit(0)), "shards")
     sizes = dealt.groupBy("shard").count()
     large = sizes.where(F.col("count") > SPLIT).select("shard")
     fine = dealt
     if large.limit(1).count():
         fine = dealt.join(large, "shard", "left_anti")
         again = dealt.join(large, "shard", "left_semi")
-        for n, pick in enumerate(combinations(blocks, 2)):
-            rest = [(8, at + h) for w, at in blocks if (w, at) not in pick for h in (0, 8)]
-            fine = fine.unionByName(_deal(again.where(F.col("pick") == n), rest, 2, F.col("shard")))
+        again = again.withColumn("rest", _rest(blocks))
+        fine = save(fine.unionByName(_deal(again, _cut(64 - 2 * (64 // n_blocks), n_blocks), "rest", F.col("shard"))), "fine-shards")
     alone = fine.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
 
     def run(batches):
@@ -162,11 +185,11 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
             for shard, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if shard != now:
                     if len(held) > 1:
-                        out += shard_links(held, radius)
+                        out += shard_links(held, reach)
                     held, now = [], shard
                 held.append(fp)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
-        out = shard_links(held, radius) if len(held) > 1 else []
+        out = shard_links(held, reach) if len(held) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
     busy = fine.select("shard", "fp").join(alone, "shard", "left_semi")

@@ -188,6 +188,45 @@ def test_links_connect_as_all_pairs_do(spark, monkeypatch, split):
     assert {f: got.get(f, f) for f in fps} == {f: top(f) for f in fps}
 
 
+@pytest.mark.parametrize("split", [2, 20_000])
+def test_links_at_a_wider_radius_connect_as_all_pairs_do(spark, monkeypatch, split):
+    monkeypatch.setattr(simhash, "SPLIT", split)
+    rng = np.random.default_rng(5)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 12)]
+    fps = sorted({b ^ sum({1 << int(i) for i in rng.integers(0, 63, rng.integers(0, 9))}) for b in base for _ in range(12)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    bits = [[(a ^ b).bit_count() for b in fps] for a in fps]
+    want = [(a, b) for i, a in enumerate(fps) for j, b in enumerate(fps) if j < i and bits[i][j] <= 6]
+    assert any((a ^ b).bit_count() == 6 for a, b in want)
+    for reach in (None, 11):
+        edges = [tuple(r) for r in simhash.links(df, 6, reach).collect()]
+        assert all((a ^ b).bit_count() <= (reach or 6) for a, b in edges)
+        root = {f: f for f in fps}
+        for a, b in edges:
+            lo, hi = min(root[a], root[b]), max(root[a], root[b])
+            root = {f: lo if r == hi else r for f, r in root.items()}
+        assert all(root[a] == root[b] for a, b in want)
+        assert reach or len({root[f] for f in fps}) >= len(base)
+
+
+def test_tree_links_a_shard_as_all_pairs_do():
+    """Also where whole subtrees are of one class and are passed by."""
+    rng = np.random.default_rng(6)
+    for radius in (0, 1, 2, 6):
+        fps = list({int(b) ^ sum({1 << int(i) for i in rng.integers(0, 40, 5)}) for b in rng.integers(0, 1 << 40, 4) for _ in range(80)})
+        out = simhash.shard_links(fps, radius)
+        assert all((a ^ b).bit_count() <= radius for a, b in out)
+        roots = []
+        for pairs in (out, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= radius]):
+            root = {f: f for f in fps}
+            for a, b in pairs:
+                lo, hi = min(root[a], root[b]), max(root[a], root[b])
+                if lo != hi:
+                    root = {f: lo if r == hi else r for f, r in root.items()}
+            roots.append(root)
+        assert roots[0] == roots[1] and len(out) == len(fps) - len(set(roots[0].values()))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
     assert {r["root"] for r in simhash.components(edges).collect()} == {0}
@@ -227,6 +266,23 @@ def test_near_dedup_stage_links_all_pairs_that_resemble(spark, sf_dir):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in enumerate(root) if r == i}
 
 
+def test_near_dedup_finds_edited_copies_by_fingerprints(spark):
+    """Without a prefix to meet in, only SimHash and the BK-trees lead from an edited copy to its text."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(12):
+        own = [f"w{int(x)}" for x in rng.integers(0, 500, 200)]
+        texts += [" ".join(own), " ".join(own[:100] + ["new"] + own[101:]), " ".join(own[:60] + own[120:])]
+    assert all((simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= resemblance.RADIUS for a, b in zip(texts[::3], texts[1::3]))
+    sets = resemblance._sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 0.8)
+    sets = sets.withColumn("prefix", F.expr("cast(array() as array<long>)"))
+    at = {r["key"]: r["doc_id"] for r in sets.collect()}
+    got = {tuple(sorted((at[r["a"]], at[r["b"]]))) for r in resemblance.links(sets).collect()}
+    assert got == {(3 * k, 3 * k + 1) for k in range(12)}
+
+
 def test_line_dedup(spark, docs, monkeypatch):
     shared = "A line that stands on every site."
     rows = [(i, f"{shared}\nOwn line {i}.\n\n  {shared} ", "en", f"site{i}", 9, None) for i in range(12)] + [(50, f"{shared}\nTwo sites", "en", "site1", 9, None), (51, None, "en", None, None, None)]
